@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
@@ -32,33 +32,46 @@ def cluster_sums(
         for name in labels
     ]
     return (
-        df.select(*xs, w.alias("w"), F.inline(F.array(*tagged)))
+        _complete(df, coords, labels)
+        .select(*xs, w.alias("w"), F.inline(F.array(*tagged)))
         .groupBy("labelling", "label")
         .agg(
             F.sum("w").alias("n"),
             *[F.sum(F.col("w") * x).alias(f"sum_{i}") for i, x in enumerate(xs)],
-            F.sum(F.col("w") * _squared_norm(xs)).alias("squares"),
+            F.sum(F.col("w") * reduce(add, [x * x for x in xs])).alias("squares"),
         )
     )
 
 
 def point_silhouette(coords: Sequence[str], label: str, sums: Sequence[Row]) -> Column:
-    """Silhouette of one row of the given cluster label."""
+    """Silhouette of one row of the given label: how much nearer its own cluster is.
+
+    The expression is kept small on purpose. The JVM never compiles a method of
+    more than 8,000 bytes, so what all clusters share is taken out of the list
+    of distances, and the row's own cluster is looked up instead of spelled out.
+    """
     xs = [F.col(c) for c in coords]
-    own, others = F, []
-    for s in sums:
-        here = F.col(label) == s["label"]
-        distance = _mean_distance(xs, s)
-        rest = distance * F.lit(s["n"] / (s["n"] - 1)) if s["n"] > 1 else F.lit(None)
-        own = own.when(here, rest)
-        others.append(F.when(~here, distance))
-    a, b = own, F.least(*others)
-    return (
-        F.when(a.isNull(), 0.0)
-        .when(a < b, 1 - a / b)
-        .when(a > b, b / a - 1)
-        .otherwise(0.0)
-    )
+    norm = reduce(add, [x * x for x in xs])
+    offsets = [_offset(len(xs), s) for s in sums]
+
+    others = [
+        F.when(F.col(label) == s["label"], float("inf")).otherwise(_apply(offset, xs))
+        for s, offset in zip(sums, offsets)
+    ]
+    b = norm + F.least(*others)
+
+    # A cluster of one is left out: no own distance, so no silhouette but 0.
+    own = F.create_map(
+        *[
+            entry
+            for s, offset in zip(sums, offsets)
+            if s["n"] > 1
+            for entry in (F.lit(s["label"]), F.array(*map(F.lit, (*offset, _unself(s)))))
+        ]
+    )[F.col(label)]
+    terms = [F.get(own, F.lit(i)) for i in range(len(xs) + 2)]
+    a = (norm + _apply(terms[:-1], xs)) * terms[-1]
+    return F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
 
 
 def silhouette_scores(
@@ -79,22 +92,24 @@ def silhouette_scores(
             raise ValueError(f"{name} has more than {MAX_CLUSTERS} labels; is it a cluster id?")
         sums[name].sort(key=lambda row: row["label"])
 
+    scored = [name for name in labels if len(sums[name]) > 1]
     w = F.col(weight) if weight else F.lit(1)
-    means = df.agg(
+    means = _complete(df, coords, labels).agg(
+        F.sum(w).alias("total"),
         *[
-            (F.sum(w * point_silhouette(coords, name, sums[name])) / F.sum(w)).alias(f"s{i}")
-            if len(sums[name]) > 1
-            else F.lit(None).cast("double").alias(f"s{i}")
-            for i, name in enumerate(labels)
-        ]
+            (F.sum(w * point_silhouette(coords, name, sums[name])) / F.sum(w)).alias(name)
+            for name in scored
+        ],
     )
     rows = [
         F.struct(
             F.lit(name).alias("labelling"),
             F.lit(len(sums[name])).alias("clusters"),
-            F.col(f"s{i}").alias("silhouette"),
+            (F.col(f"`{name}`") if name in scored else F.lit(None).cast("double")).alias(
+                "silhouette"
+            ),
         )
-        for i, name in enumerate(labels)
+        for name in labels
     ]
     return means.select(F.inline(F.array(*rows)))
 
@@ -107,12 +122,24 @@ def best_k(scores: DataFrame) -> DataFrame:
     )
 
 
-def _squared_norm(xs: Sequence[Column]) -> Column:
-    return reduce(add, [x * x for x in xs])
+def _offset(dimensions: int, s: Row) -> list[float]:
+    """What a cluster adds to a point's squared norm in the mean squared distance:
+    a constant and one factor per coordinate."""
+    return [s["squares"] / s["n"]] + [
+        -2 * s[f"sum_{i}"] / s["n"] for i in range(dimensions)
+    ]
 
 
-def _mean_distance(xs: Sequence[Column], s: Row) -> Column:
-    products = reduce(
-        add, [x * F.lit(2 * s[f"sum_{i}"] / s["n"]) for i, x in enumerate(xs)]
-    )
-    return _squared_norm(xs) + F.lit(s["squares"] / s["n"]) - products
+def _apply(offset: Sequence, xs: Sequence[Column]) -> Column:
+    constant, *factors = [o if isinstance(o, Column) else F.lit(o) for o in offset]
+    return reduce(add, [x * f for x, f in zip(xs, factors)], constant)
+
+
+def _unself(s: Row) -> float:
+    """From the mean over all members to the mean over the others."""
+    return s["n"] / (s["n"] - 1)
+
+
+def _complete(df: DataFrame, coords: Sequence[str], labels: Sequence[str]) -> DataFrame:
+    """Rows with a place and labels. Known non-null columns also make short code."""
+    return df.filter(reduce(and_, [F.col(f"`{c}`").isNotNull() for c in (*coords, *labels)]))

@@ -27,6 +27,9 @@ from blotter.sources.shared import ensure_checkpoint_dir
 
 _CENTRED = "centred"
 
+# Large enough that a pass over a partition outweighs starting its task.
+POINTS_PER_PARTITION = 200_000
+
 
 @dataclass(frozen=True)
 class PointSet:
@@ -45,23 +48,19 @@ def prepare_points(incidents: DataFrame, coords: Sequence[str] = COORDINATES):
     """Collapse incidents to weighted points, cut their lineage, hold them in memory.
 
     The checkpoint means a lost executor costs a reread of points, not a rescan
-    of the incidents. Hash partitioning into a set number of partitions, sorted
-    inside, makes the layout depend on the points alone and not on how the input
-    happened to be split; a seeded fit then gives the same clusters every time.
+    of the incidents. Hash partitioning into a number of partitions set by the
+    number of points, sorted inside, makes the layout depend on the points alone
+    and not on how the input happened to be split or on the cluster's size; so a
+    seeded fit gives the same clusters every time.
     """
-    spark = incidents.sparkSession
-    ensure_checkpoint_dir(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = (
-        collapse_points(incidents.select(*coords), coords)
-        .repartition(partitions, *coords)
-        .sortWithinPartitions(*coords)
-        .checkpoint()
-    )
+    ensure_checkpoint_dir(incidents.sparkSession)
+    points = collapse_points(incidents.select(*coords), coords).checkpoint()
     scale = measure_scale(points, coords)
     frame = (
         standardize_columns(points, scale)
         .withColumns({f"{_CENTRED}_{c}": x for c, x in zip(coords, scale.centred())})
+        .repartition(-(-scale.points // POINTS_PER_PARTITION), *coords)
+        .sortWithinPartitions(*coords)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
@@ -76,7 +75,7 @@ def fit_models(
     algorithm: str = "kmeans",
     seed: int = clustering.SEED,
     max_iter: int | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> dict:
     """One model per k. Fits are independent, so a few run side by side."""
     fit = {"kmeans": clustering.fit_kmeans, "gmm": clustering.fit_gmm}[algorithm]
@@ -139,7 +138,7 @@ def sweep(
     algorithm: str = "kmeans",
     seed: int = clustering.SEED,
     max_iter: int | None = None,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Fit and score every k over one prepared set of points."""
     with prepare_points(incidents) as points:

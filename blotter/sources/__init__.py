@@ -5,7 +5,7 @@ from blotter.sources.incidents import (
     read_incidents,
     read_incidents_as_text,
     read_staged,
-    stage_by_year,
+    stage_incidents,
 )
 from blotter.sources.lines import header_line, read_lines
 from blotter.sources.shared import ensure_checkpoint_dir, fresh_folder
@@ -20,7 +20,7 @@ __all__ = [
     "read_incidents_as_text",
     "read_lines",
     "read_staged",
-    "stage_by_year",
+    "stage_incidents",
     "write_cluster_map",
     "write_counts",
     "write_scores",

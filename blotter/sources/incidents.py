@@ -52,16 +52,23 @@ def count_rejects(text_df: DataFrame, schema: T.StructType | None = None) -> Dat
     return totals.select(F.inline(F.array(*pairs)))
 
 
-def stage_by_year(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Write incidents as Parquet partitioned by Year.
-
-    ``rebalance`` gathers each year into few well-sized files and lets AQE split
-    a year that holds a large share of the rows.
+def stage_incidents(
+    df: DataFrame, path: str, by_year: bool = False, mode: str = "errorifexists"
+) -> None:
+    """Write incidents as Parquet, so later scans skip columns and row groups.
+
+    Each task writes what it reads, without a shuffle. ``by_year`` makes one
+    folder per Year, which a year filter then prunes, for the price of one
+    shuffle: ``rebalance`` gathers each year into few well-sized files, and AQE
+    splits a year that holds a large share of the rows.
     """
-    df.hint("rebalance", "Year").write.mode(mode).partitionBy("Year").parquet(path)
+    if by_year:
+        df.hint("rebalance", "Year").write.mode(mode).partitionBy("Year").parquet(path)
+    else:
+        df.write.mode(mode).parquet(path)
 
 
 def read_staged(spark: SparkSession, path: str, codes_as_int: bool = True) -> DataFrame:
-    """Staged incidents in file order of columns; a year filter prunes folders."""
+    """Staged incidents, their columns in file order either way."""
     staged = spark.read.schema(incident_schema(codes_as_int)).parquet(path)
     return staged.select(*[F.col(f"`{c}`") for c in INCIDENT_COLUMNS])

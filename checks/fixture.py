@@ -16,6 +16,8 @@ from blotter.sources import (
     read_incidents,
     read_incidents_as_text,
     read_lines,
+    read_staged,
+    stage_incidents,
 )
 
 # Column name -> (expression over events, the expression for the SQL side where
@@ -150,6 +152,17 @@ def _csv_path(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The typed events staged as Parquet: what the studies read in practice.
+
+    Filters then meet stored columns, so they reach the scan; on the view they
+    would have to compute each column first.
+    """
+    view = incident_view(spark, sf_dir)
+    path = _stage_once(spark, sf_dir, "parquet", lambda path: stage_incidents(view, path))
+    return read_staged(spark, path)
+
+
 def csv_incidents(spark: SparkSession, sf_dir: str, codes_as_int: bool = True) -> DataFrame:
     """The events as incident CSV files, read back typed."""
     return read_incidents(spark, _csv_path(spark, sf_dir), codes_as_int)

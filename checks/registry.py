@@ -38,6 +38,7 @@ from checks.fixture import (
     TEXT_SQL,
     csv_incidents,
     csv_text,
+    incident_table,
     incident_view,
     lineitem_points,
     quantity_bucket,
@@ -205,32 +206,32 @@ _FULL = " and ".join(f'"{c}" is not null' for c in INCIDENT_COLUMNS)
 
 @query(with_incidents(f" select {_ALL} from incidents where {_YEARS}"))
 def filter_year_range(spark, sf_dir):
-    return incident_view(spark, sf_dir).filter(filters.year_range())
+    return incident_table(spark, sf_dir).filter(filters.year_range())
 
 
 @query(with_incidents(f" select {_ALL} from incidents where {_FULL}"))
 def drop_any_null(spark, sf_dir):
-    return filters.drop_any_null(incident_view(spark, sf_dir))
+    return filters.drop_any_null(incident_table(spark, sf_dir))
 
 
 @query(with_incidents(f" select {_ALL} from incidents where {_HOMES}"))
 def filter_location_in(spark, sf_dir):
-    return incident_view(spark, sf_dir).filter(filters.place_in(*filters.HOME_PLACES))
+    return incident_table(spark, sf_dir).filter(filters.place_in(*filters.HOME_PLACES))
 
 
 @query(with_incidents(f" select {_ALL} from incidents where {_STREET}"))
 def filter_location_eq(spark, sf_dir):
-    return incident_view(spark, sf_dir).filter(filters.place_is(filters.STREET_PLACE))
+    return incident_table(spark, sf_dir).filter(filters.place_is(filters.STREET_PLACE))
 
 
 @query(with_incidents(f' select {_ALL} from incidents where "Domestic"'))
 def filter_flag(spark, sf_dir):
-    return incident_view(spark, sf_dir).filter(filters.is_domestic())
+    return incident_table(spark, sf_dir).filter(filters.is_domestic())
 
 
 @query(with_incidents(f" select {_ALL} from incidents where {_BOX}"))
 def filter_bbox(spark, sf_dir):
-    return incident_view(spark, sf_dir).filter(filters.in_open_box())
+    return incident_table(spark, sf_dir).filter(filters.in_open_box())
 
 
 _HOURS_SQL = f", hours as (select \"ID\", strftime({_STAMP_SQL}, '%H') as hour from messy)"
@@ -262,17 +263,17 @@ _DOMESTIC = f'{_HOMES} and "Domestic" and {_BOX}'
 
 @query(_study_sql(_DOMESTIC))
 def incidents_domestic(spark, sf_dir):
-    return domestic_in_homes(incident_view(spark, sf_dir))
+    return domestic_in_homes(incident_table(spark, sf_dir))
 
 
 @query(_study_sql(f"{_STREET} and {_BOX} and {_NIGHT}"))
 def incidents_street_night(spark, sf_dir):
-    return street_at_night(incident_view(spark, sf_dir))
+    return street_at_night(incident_table(spark, sf_dir))
 
 
 @query(_study_sql(f"{_STREET} and {_BOX} and {_DAY}"))
 def incidents_street_day(spark, sf_dir):
-    return street_by_day(incident_view(spark, sf_dir))
+    return street_by_day(incident_table(spark, sf_dir))
 
 
 @query(_study_sql(_DOMESTIC))
@@ -327,7 +328,7 @@ def count_by_field_skip_header(spark, sf_dir):
 )
 def coordinate_stddev(spark, sf_dir):
     spread = aggregates.column_stddev(
-        domestic_in_homes(incident_view(spark, sf_dir)), COORDINATES
+        domestic_in_homes(incident_table(spark, sf_dir)), COORDINATES
     )
     return spread.select(*[F.round(c, 6).alias(c) for c in COORDINATES])
 
@@ -398,7 +399,7 @@ def _vector_parts(df: DataFrame, vector: str, digits: int | None = None) -> Data
 
 @query(_study_sql(_DOMESTIC, '"ID", "Latitude" as latitude, "Longitude" as longitude'))
 def assemble_features(spark, sf_dir):
-    incidents = domestic_in_homes(incident_view(spark, sf_dir))
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
     return _vector_parts(features.assemble_features(incidents), features.FEATURES)
 
 
@@ -411,7 +412,7 @@ _STANDARDIZED_SQL = _study_sql(
 
 @query(_STANDARDIZED_SQL)
 def standardize_features(spark, sf_dir):
-    assembled = features.assemble_features(domestic_in_homes(incident_view(spark, sf_dir)))
+    assembled = features.assemble_features(domestic_in_homes(incident_table(spark, sf_dir)))
     scaled = features.standardize_features(assembled, features.fit_scaler(assembled))
     return _vector_parts(scaled, features.STANDARDIZED, 6)
 
@@ -419,7 +420,7 @@ def standardize_features(spark, sf_dir):
 @query(_STANDARDIZED_SQL)
 def standardize_weighted_points(spark, sf_dir):
     """The same result by the path the studies use: scale from collapsed points."""
-    incidents = domestic_in_homes(incident_view(spark, sf_dir))
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
     scale = features.measure_scale(features.collapse_points(incidents))
     scaled = features.standardize_columns(incidents, scale)
     return _vector_parts(scaled, features.STANDARDIZED, 6)
@@ -431,7 +432,7 @@ def standardize_weighted_points(spark, sf_dir):
     ) + ' group by "Latitude", "Longitude"'
 )
 def collapse_points(spark, sf_dir):
-    return features.collapse_points(domestic_in_homes(incident_view(spark, sf_dir)))
+    return features.collapse_points(domestic_in_homes(incident_table(spark, sf_dir)))
 
 
 # --- clustering with given centers or labels: checked by value --------------------
@@ -452,7 +453,7 @@ def _center_sql(selected: str) -> str:
 
 @query(_center_sql('"ID"'))
 def assign_nearest_center(spark, sf_dir):
-    incidents = domestic_in_homes(incident_view(spark, sf_dir))
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
     return clustering.assign_nearest_center(incidents, COORDINATES, CENTERS).select(
         "ID", "prediction"
     )
@@ -460,7 +461,7 @@ def assign_nearest_center(spark, sf_dir):
 
 @query(_center_sql('"Longitude", "Latitude"'))
 def cluster_map_points(spark, sf_dir):
-    incidents = domestic_in_homes(incident_view(spark, sf_dir))
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
     return cluster_map(clustering.assign_nearest_center(incidents, COORDINATES, CENTERS))
 
 
@@ -528,27 +529,27 @@ def best_k(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    with prepare_points(domestic_in_homes(incident_view(spark, sf_dir))) as points:
+    with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
         model = fit_models(points, [3])[3]
         return clustering.kmeans_centers(spark, model, points.scale)
 
 
 @query()
 def kmeans_predict(spark, sf_dir):
-    incidents = domestic_in_homes(incident_view(spark, sf_dir))
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
     return assign_kmeans(incidents, 3).select("ID", *COORDINATES, "prediction")
 
 
 @query()
 def gmm_fit(spark, sf_dir):
-    with prepare_points(domestic_in_homes(incident_view(spark, sf_dir))) as points:
+    with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
         model = fit_models(points, [3], "gmm", max_iter=GMM_CHECK_ITER)[3]
         return clustering.gmm_components(spark, model, points.scale)
 
 
 @query()
 def gmm_predict(spark, sf_dir):
-    incidents = domestic_in_homes(incident_view(spark, sf_dir))
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
     assigned = assign_gmm(incidents, 3, max_iter=GMM_CHECK_ITER)
     return assigned.select(
         "ID", *COORDINATES, "prediction", vector_to_array("probability").alias("probability")
@@ -557,7 +558,7 @@ def gmm_predict(spark, sf_dir):
 
 def _study(spark, sf_dir, name: str, max_iter: int | None = None) -> DataFrame:
     study = STUDIES[name]
-    incidents = study.select(incident_view(spark, sf_dir))
+    incidents = study.select(incident_table(spark, sf_dir))
     return sweep(incidents, study.ks, study.algorithm, max_iter=max_iter)
 
 
