@@ -131,12 +131,9 @@ def nearest_center(columns: Sequence[Column], centers: Sequence[Sequence[float]]
     The centers enter the plan as constants, so assignment is a projection: no
     join, no shuffle, no vectors.
     """
-    ranked = [
-        F.struct(squared_distance(columns, c).alias("distance"), F.lit(i).alias("cluster"))
-        for i, c in enumerate(centers)
-    ]
-    best = F.least(*ranked) if len(ranked) > 1 else ranked[0]
-    return best["cluster"]
+    distances = [squared_distance(columns, c) for c in centers]
+    nearest = F.least(*distances) if len(distances) > 1 else distances[0]
+    return (F.array_position(F.array(*distances), nearest) - 1).cast("int")
 
 
 def assign_nearest_center(

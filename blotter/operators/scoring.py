@@ -60,13 +60,12 @@ def point_silhouette(coords: Sequence[str], label: str, sums: Sequence[Row]) ->
     ]
     b = norm + F.least(*others)
 
-    # A cluster of one is left out: no own distance, so no silhouette but 0.
+    # A cluster of one has no own distance, which leaves a silhouette of 0.
     own = F.create_map(
         *[
             entry
             for s, offset in zip(sums, offsets)
-            if s["n"] > 1
-            for entry in (F.lit(s["label"]), F.array(*map(F.lit, (*offset, _unself(s)))))
+            for entry in (F.lit(s["label"]), _own_terms(s, offset))
         ]
     )[F.col(label)]
     terms = [F.get(own, F.lit(i)) for i in range(len(xs) + 2)]
@@ -135,9 +134,12 @@ def _apply(offset: Sequence, xs: Sequence[Column]) -> Column:
     return reduce(add, [x * f for x, f in zip(xs, factors)], constant)
 
 
-def _unself(s: Row) -> float:
-    """From the mean over all members to the mean over the others."""
-    return s["n"] / (s["n"] - 1)
+def _own_terms(s: Row, offset: Sequence[float]) -> Column:
+    """A cluster's offset, and the factor from the mean over all its members to
+    the mean over the others."""
+    if s["n"] == 1:
+        return F.lit(None).cast("array<double>")
+    return F.array(*map(F.lit, (*offset, s["n"] / (s["n"] - 1))))
 
 
 def _complete(df: DataFrame, coords: Sequence[str], labels: Sequence[str]) -> DataFrame:
