@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.ml.clustering import (
     GaussianMixture,
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blotter.functions.text import sql_double
 from blotter.operators.features import STANDARDIZED, Scale
 
 # The library default seed is a hash that differs between Python processes.
@@ -118,22 +118,22 @@ def gmm_components(spark: SparkSession, model: GaussianMixtureModel, scale: Scal
     )
 
 
-def squared_distance(columns: Sequence[Column], center: Sequence[float]) -> Column:
-    return reduce(
-        lambda a, b: a + b,
-        [(c - F.lit(float(v))) * (c - F.lit(float(v))) for c, v in zip(columns, center)],
-    )
-
-
-def nearest_center(columns: Sequence[Column], centers: Sequence[Sequence[float]]) -> Column:
+def nearest_center(columns: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
     """Index of the nearest of the given centers, the lowest one on a tie.
 
     The centers enter the plan as constants, so assignment is a projection: no
     join, no shuffle, no vectors.
     """
-    distances = [squared_distance(columns, c) for c in centers]
-    nearest = F.least(*distances) if len(distances) > 1 else distances[0]
-    return (F.array_position(F.array(*distances), nearest) - 1).cast("int")
+    distances = [
+        " + ".join(
+            f"(`{c}` - {sql_double(v)}) * (`{c}` - {sql_double(v)})"
+            for c, v in zip(columns, center)
+        )
+        for center in centers
+    ]
+    every = ", ".join(distances)
+    nearest = f"least({every})" if len(distances) > 1 else every
+    return F.expr(f"cast(array_position(array({every}), {nearest}) - 1 as int)")
 
 
 def assign_nearest_center(
@@ -142,4 +142,4 @@ def assign_nearest_center(
     centers: Sequence[Sequence[float]],
     prediction: str = "prediction",
 ) -> DataFrame:
-    return df.withColumn(prediction, nearest_center([F.col(c) for c in columns], centers))
+    return df.withColumn(prediction, nearest_center(columns, centers))

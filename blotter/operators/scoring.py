@@ -15,6 +15,8 @@ from operator import add, and_
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from blotter.functions.text import sql_double
+
 # The per-cluster sums become constants of the second pass, as cluster centers
 # do. A label with more values than this is taken to be a mistake (such as a row
 # id) and is refused before it can reach the driver.
@@ -24,12 +26,12 @@ MAX_CLUSTERS = 10_000
 def cluster_sums(
     df: DataFrame, coords: Sequence[str], labels: Sequence[str], weight: str | None = None
 ) -> DataFrame:
-    """Size, coordinate sums and squared-norm sum per (labelling, label)."""
+    """Size, coordinate sums and squared-norm sum per labelling (by position) and label."""
     w = F.col(weight) if weight else F.lit(1)
     xs = [F.col(c) for c in coords]
     tagged = [
-        F.struct(F.lit(name).alias("labelling"), F.col(name).cast("int").alias("label"))
-        for name in labels
+        F.struct(F.lit(i).alias("labelling"), F.col(f"`{name}`").cast("int").alias("label"))
+        for i, name in enumerate(labels)
     ]
     return (
         _complete(df, coords, labels)
@@ -49,28 +51,23 @@ def point_silhouette(coords: Sequence[str], label: str, sums: Sequence[Row]) ->
     The expression is kept small on purpose. The JVM never compiles a method of
     more than 8,000 bytes, so what all clusters share is taken out of the list
     of distances, and the row's own cluster is looked up instead of spelled out.
+    It is SQL text because one parse is far quicker than a call per operator.
     """
-    xs = [F.col(c) for c in coords]
-    norm = reduce(add, [x * x for x in xs])
-    offsets = [_offset(len(xs), s) for s in sums]
-
-    others = [
-        F.when(F.col(label) == s["label"], float("inf")).otherwise(_apply(offset, xs))
-        for s, offset in zip(sums, offsets)
-    ]
-    b = norm + F.least(*others)
+    xs = [f"`{c}`" for c in coords]
+    key = f"cast(`{label}` as int)"
+    norm = " + ".join(f"{x} * {x}" for x in xs)
+
+    others = ", ".join(
+        f"case when {key} = {s['label']} then double('infinity')"
+        f" else {_affine(_offset(len(xs), s), xs)} end"
+        for s in sums
+    )
+    b = f"({norm} + least({others}))"
 
-    # A cluster of one has no own distance, which leaves a silhouette of 0.
-    own = F.create_map(
-        *[
-            entry
-            for s, offset in zip(sums, offsets)
-            for entry in (F.lit(s["label"]), _own_terms(s, offset))
-        ]
-    )[F.col(label)]
-    terms = [F.get(own, F.lit(i)) for i in range(len(xs) + 2)]
-    a = (norm + _apply(terms[:-1], xs)) * terms[-1]
-    return F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
+    own = f"map({', '.join(_own_entry(len(xs), s) for s in sums)})[{key}]"
+    terms = [f"{own}[{i}]" for i in range(len(xs) + 2)]
+    a = f"(({norm} + {_affine(terms[:-1], xs)}) * {terms[-1]})"
+    return F.expr(f"coalesce(try_divide({b} - {a}, greatest({a}, {b})), 0D)")
 
 
 def silhouette_scores(
@@ -85,7 +82,7 @@ def silhouette_scores(
     sums = defaultdict(list)
     found = cluster_sums(df, coords, labels, weight).limit(MAX_CLUSTERS * len(labels) + 1)
     for row in found.collect():
-        sums[row["labelling"]].append(row)
+        sums[labels[row["labelling"]]].append(row)
     for name in labels:
         if len(sums[name]) > MAX_CLUSTERS:
             raise ValueError(f"{name} has more than {MAX_CLUSTERS} labels; is it a cluster id?")
@@ -121,25 +118,25 @@ def best_k(scores: DataFrame) -> DataFrame:
     )
 
 
-def _offset(dimensions: int, s: Row) -> list[float]:
+def _offset(dimensions: int, s: Row) -> list[str]:
     """What a cluster adds to a point's squared norm in the mean squared distance:
     a constant and one factor per coordinate."""
-    return [s["squares"] / s["n"]] + [
-        -2 * s[f"sum_{i}"] / s["n"] for i in range(dimensions)
-    ]
+    factors = [-2 * s[f"sum_{i}"] / s["n"] for i in range(dimensions)]
+    return [sql_double(v) for v in (s["squares"] / s["n"], *factors)]
 
 
-def _apply(offset: Sequence, xs: Sequence[Column]) -> Column:
-    constant, *factors = [o if isinstance(o, Column) else F.lit(o) for o in offset]
-    return reduce(add, [x * f for x, f in zip(xs, factors)], constant)
+def _affine(offset: Sequence[str], xs: Sequence[str]) -> str:
+    constant, *factors = offset
+    return " + ".join([constant, *[f"{x} * {f}" for x, f in zip(xs, factors)]])
 
 
-def _own_terms(s: Row, offset: Sequence[float]) -> Column:
-    """A cluster's offset, and the factor from the mean over all its members to
-    the mean over the others."""
+def _own_entry(dimensions: int, s: Row) -> str:
+    """Label to offset and the factor from the mean over all members to the mean
+    over the others. A cluster of one has no others: null, hence a silhouette of 0."""
     if s["n"] == 1:
-        return F.lit(None).cast("array<double>")
-    return F.array(*map(F.lit, (*offset, s["n"] / (s["n"] - 1))))
+        return f"{s['label']}, cast(null as array<double>)"
+    terms = [*_offset(dimensions, s), sql_double(s["n"] / (s["n"] - 1))]
+    return f"{s['label']}, array({', '.join(terms)})"
 
 
 def _complete(df: DataFrame, coords: Sequence[str], labels: Sequence[str]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from contextlib import contextmanager
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -43,30 +42,33 @@ class PointSet:
         return [f"{_CENTRED}_{c}" for c in self.scale.columns]
 
 
-@contextmanager
-def prepare_points(incidents: DataFrame, coords: Sequence[str] = COORDINATES):
-    """Collapse incidents to weighted points, cut their lineage, hold them in memory.
+def prepare_points(incidents: DataFrame, coords: Sequence[str] = COORDINATES) -> PointSet:
+    """Collapse incidents to weighted points and write them to the shared folder.
 
-    The checkpoint means a lost executor costs a reread of points, not a rescan
-    of the incidents. Hash partitioning into a number of partitions set by the
-    number of points, sorted inside, makes the layout depend on the points alone
-    and not on how the input happened to be split or on the cluster's size; so a
-    seeded fit gives the same clusters every time.
+    The checkpoint means every later pass, and every lost executor, reads points
+    and never the incidents again. Hash partitioning into a number of partitions
+    set by the number of points, sorted inside, makes the layout depend on the
+    points alone and not on how the input happened to be split or on the
+    cluster's size; so a seeded fit gives the same clusters every time.
+
+    The frame itself is not held in memory: a fit holds its own decoded copy
+    while it iterates, which is quicker than decoding a cached frame each pass.
     """
     ensure_checkpoint_dir(incidents.sparkSession)
-    points = collapse_points(incidents.select(*coords), coords).checkpoint()
-    scale = measure_scale(points, coords)
-    frame = (
-        standardize_columns(points, scale)
-        .withColumns({f"{_CENTRED}_{c}": x for c, x in zip(coords, scale.centred())})
-        .repartition(-(-scale.points // POINTS_PER_PARTITION), *coords)
-        .sortWithinPartitions(*coords)
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    points = collapse_points(incidents.select(*coords), coords)
+    points.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield PointSet(frame, scale)
+        scale = measure_scale(points, coords)
+        frame = (
+            standardize_columns(points, scale)
+            .withColumns({f"{_CENTRED}_{c}": x for c, x in zip(coords, scale.centred())})
+            .repartition(-(-scale.points // POINTS_PER_PARTITION), *coords)
+            .sortWithinPartitions(*coords)
+            .checkpoint()
+        )
     finally:
-        frame.unpersist()
+        points.unpersist()
+    return PointSet(frame, scale)
 
 
 def fit_models(
@@ -89,7 +91,6 @@ def fit_models(
             names["probability"] = f"probability_{k}"
         return fit(points.frame, k, **options, **names)
 
-    points.frame.count()
     task = inheritable_thread_target(points.frame.sparkSession)(one)
     with ThreadPool(max(1, min(parallelism, len(ks)))) as pool:
         return dict(zip(ks, pool.map(task, ks)))
@@ -141,9 +142,8 @@ def sweep(
     parallelism: int = 8,
 ) -> DataFrame:
     """Fit and score every k over one prepared set of points."""
-    with prepare_points(incidents) as points:
-        models = fit_models(points, ks, algorithm, seed, max_iter, parallelism)
-        return score_models(points, models)
+    points = prepare_points(incidents)
+    return score_models(points, fit_models(points, ks, algorithm, seed, max_iter, parallelism))
 
 
 def assign_kmeans(
@@ -167,13 +167,12 @@ def cluster_map(clustered: DataFrame, coords: Sequence[str] = COORDINATES) -> Da
 
 
 def _fit_and_assign(incidents, k, algorithm, seed, max_iter) -> DataFrame:
-    with prepare_points(incidents) as points:
-        model = fit_models(points, [k], algorithm, seed, max_iter)[k]
-        scale = points.scale
+    points = prepare_points(incidents)
+    model = fit_models(points, [k], algorithm, seed, max_iter)[k]
     model = model.setPredictionCol("prediction")
     if algorithm == "gmm":
         model = model.setProbabilityCol("probability")
-    return model.transform(standardize_columns(incidents, scale)).drop(STANDARDIZED)
+    return model.transform(standardize_columns(incidents, points.scale)).drop(STANDARDIZED)
 
 
 def _prediction(k: int) -> str:

@@ -529,9 +529,9 @@ def best_k(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
-        model = fit_models(points, [3])[3]
-        return clustering.kmeans_centers(spark, model, points.scale)
+    points = prepare_points(domestic_in_homes(incident_table(spark, sf_dir)))
+    model = fit_models(points, [3])[3]
+    return clustering.kmeans_centers(spark, model, points.scale)
 
 
 @query()
@@ -542,9 +542,9 @@ def kmeans_predict(spark, sf_dir):
 
 @query()
 def gmm_fit(spark, sf_dir):
-    with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
-        model = fit_models(points, [3], "gmm", max_iter=GMM_CHECK_ITER)[3]
-        return clustering.gmm_components(spark, model, points.scale)
+    points = prepare_points(domestic_in_homes(incident_table(spark, sf_dir)))
+    model = fit_models(points, [3], "gmm", max_iter=GMM_CHECK_ITER)[3]
+    return clustering.gmm_components(spark, model, points.scale)
 
 
 @query()

@@ -71,9 +71,9 @@ def test_collapse_keeps_every_row(planted):
 
 
 def test_kmeans_finds_planted_spots(spark, planted):
-    with prepare_points(planted) as points:
-        model = fit_models(points, [3])[3]
-        centers = clustering.kmeans_centers(spark, model, points.scale).collect()
+    points = prepare_points(planted)
+    model = fit_models(points, [3])[3]
+    centers = clustering.kmeans_centers(spark, model, points.scale).collect()
     found = sorted((r["Latitude"], r["Longitude"]) for r in centers)
     for got, want in zip(found, sorted(SPOTS)):
         assert got == pytest.approx(want, abs=0.002)
@@ -89,15 +89,15 @@ def test_weighted_points_reach_the_cost_of_all_rows(planted):
 
 
 def test_every_prediction_is_the_nearest_center(domestic):
-    with prepare_points(domestic) as points:
-        model = fit_models(points, [5])[5]
-        scaled = features.standardize_columns(domestic, points.scale).withColumn(
-            "v", vector_to_array(STANDARDIZED)
-        )
-        centers = [list(map(float, c)) for c in model.clusterCenters()]
-        predicted = model.transform(scaled).withColumns({"x": F.get("v", F.lit(0)), "y": F.get("v", F.lit(1))})
-        both = clustering.assign_nearest_center(predicted, ["x", "y"], centers, "nearest")
-        assert both.filter(F.col("prediction_5") != F.col("nearest")).count() == 0
+    points = prepare_points(domestic)
+    model = fit_models(points, [5])[5]
+    scaled = features.standardize_columns(domestic, points.scale).withColumn(
+        "v", vector_to_array(STANDARDIZED)
+    )
+    centers = [list(map(float, c)) for c in model.clusterCenters()]
+    predicted = model.transform(scaled).withColumns({"x": F.get("v", F.lit(0)), "y": F.get("v", F.lit(1))})
+    both = clustering.assign_nearest_center(predicted, ["x", "y"], centers, "nearest")
+    assert both.filter(F.col("prediction_5") != F.col("nearest")).count() == 0
 
 
 def test_nearest_center_takes_the_lowest_on_a_tie(spark):
@@ -113,9 +113,9 @@ def test_cluster_sizes_sum_to_the_rows(spark, domestic):
     assigned = assign_kmeans(domestic, 4)
     assert assigned.count() == rows
     assert {r["prediction"] for r in assigned.collect()} == {0, 1, 2, 3}
-    with prepare_points(domestic) as points:
-        centers = clustering.kmeans_centers(spark, fit_models(points, [4])[4], points.scale)
-        assert centers.agg(F.sum("size")).first()[0] == points.scale.points
+    points = prepare_points(domestic)
+    centers = clustering.kmeans_centers(spark, fit_models(points, [4])[4], points.scale)
+    assert centers.agg(F.sum("size")).first()[0] == points.scale.points
 
 
 def test_gmm_posterior_sums_to_one_and_peaks_at_the_prediction(domestic):
@@ -130,10 +130,10 @@ def test_gmm_posterior_sums_to_one_and_peaks_at_the_prediction(domestic):
 def test_gmm_finds_planted_spots(spark, planted):
     """EM from a random start may stop early; the likeliest of a few starts must not."""
     spread = planted.filter("ID < 300")
-    with prepare_points(spread) as points:
-        models = [fit_models(points, [3], "gmm", seed=seed)[3] for seed in range(6)]
-        best = max(models, key=lambda m: m.summary.logLikelihood)
-        means = clustering.gmm_components(spark, best, points.scale).collect()
+    points = prepare_points(spread)
+    models = [fit_models(points, [3], "gmm", seed=seed)[3] for seed in range(6)]
+    best = max(models, key=lambda m: m.summary.logLikelihood)
+    means = clustering.gmm_components(spark, best, points.scale).collect()
     found = sorted((r["Latitude"], r["Longitude"]) for r in means)
     for got, want in zip(found, sorted(SPOTS)):
         assert got == pytest.approx(want, abs=0.01)
@@ -150,8 +150,8 @@ def test_more_clusters_than_points_gives_fewer_centers(spark):
     five = spark.createDataFrame(
         [(float(i), float(i * i)) for i in range(5)], "Latitude double, Longitude double"
     )
-    with prepare_points(five) as points:
-        assert len(fit_models(points, [30])[30].clusterCenters()) == 5
+    points = prepare_points(five)
+    assert len(fit_models(points, [30])[30].clusterCenters()) == 5
     two = five.limit(2)
     assert sweep(two, [2]).first()["silhouette"] == 0.0
 
@@ -260,11 +260,11 @@ def test_model_scores_agree_with_the_evaluator(domestic):
         metricName="silhouette",
         distanceMeasure="squaredEuclidean",
     )
-    with prepare_points(domestic) as points:
-        assert points.scale.rows == points.scale.points
-        models = fit_models(points, [3])
-        got = score_models(points, models).first()["silhouette"]
-        want = evaluator.evaluate(models[3].transform(points.frame))
+    points = prepare_points(domestic)
+    assert points.scale.rows == points.scale.points
+    models = fit_models(points, [3])
+    got = score_models(points, models).first()["silhouette"]
+    want = evaluator.evaluate(models[3].transform(points.frame))
     assert math.isclose(got, want, abs_tol=1e-6)
 
 
