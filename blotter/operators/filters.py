@@ -7,8 +7,6 @@ one filter and push what it can into the scan.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +36,15 @@ def no_nulls(df: DataFrame, columns: Iterable[str] | None = None) -> Column:
     single counting predicate of ``na.drop()`` cannot. Naming the columns that
     matter keeps the others out of the scan altogether.
     """
-    wanted = list(df.columns if columns is None else columns)
-    tests = []
-    for name in wanted:
-        column = F.col(f"`{name}`")
-        tests.append(column.isNotNull())
-        if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            tests.append(~F.isnan(column))
-    return reduce(and_, tests)
+    kinds = {field.name: field.dataType for field in df.schema}
+    wanted = list(kinds if columns is None else columns)
+    tests = [f"`{name}` is not null" for name in wanted]
+    tests += [
+        f"not isnan(`{name}`)"
+        for name in wanted
+        if isinstance(kinds[name], (T.DoubleType, T.FloatType))
+    ]
+    return F.expr(" and ".join(tests))
 
 
 def drop_any_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

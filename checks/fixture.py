@@ -108,18 +108,19 @@ def text_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(table(spark, sf_dir, "events"))
 
 
-def _view(events: DataFrame, *extra: str) -> DataFrame:
+def _view(events: DataFrame, typed: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    def expression(name):
+        spark_sql, _ = _FIELDS[name]
+        return f"try_cast({spark_sql} as int)" if typed and name in CODE_FIELDS else spark_sql
+
     stamped = events.selectExpr("*", f"{_STAMP} as stamp")
-    return stamped.selectExpr(
-        *[f"{spark_sql} as `{name}`" for name, (spark_sql, _) in _FIELDS.items()], *extra
-    )
+    return stamped.selectExpr(*[f"{expression(name)} as `{name}`" for name in _FIELDS], *extra)
 
 
 def incident_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as incidents with every column of its declared type."""
-    return text_view(spark, sf_dir).withColumns(
-        {c: F.col(f"`{c}`").try_cast("int") for c in CODE_FIELDS}
-    )
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return _view(table(spark, sf_dir, "events"), typed=True)
 
 
 def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +130,7 @@ def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quantity_bucket(k: int):
     """A fixed labelling into k clusters: equal buckets of quantity."""
-    return F.floor((F.col("l_quantity") - 1) * k / 50).cast("int")
+    return F.expr(f"cast(floor((l_quantity - 1) * {k} / 50) as int)")
 
 
 _staged: dict[tuple, str] = {}
@@ -146,9 +147,11 @@ def _stage_once(spark: SparkSession, sf_dir: str, kind: str, write) -> str:
 
 
 def _csv_path(spark: SparkSession, sf_dir: str) -> str:
-    view = text_view(spark, sf_dir)
     return _stage_once(
-        spark, sf_dir, "csv", lambda path: view.write.option("header", True).csv(path)
+        spark,
+        sf_dir,
+        "csv",
+        lambda path: text_view(spark, sf_dir).write.option("header", True).csv(path),
     )
 
 
@@ -158,8 +161,12 @@ def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     Filters then meet stored columns, so they reach the scan; on the view they
     would have to compute each column first.
     """
-    view = incident_view(spark, sf_dir)
-    path = _stage_once(spark, sf_dir, "parquet", lambda path: stage_incidents(view, path))
+    path = _stage_once(
+        spark,
+        sf_dir,
+        "parquet",
+        lambda path: stage_incidents(incident_view(spark, sf_dir), path),
+    )
     return read_staged(spark, path)
 
 
@@ -177,7 +184,7 @@ def raw_lines(spark: SparkSession, sf_dir: str, skip_header: bool = False) -> Da
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def write(path):
-        view = _view(table(spark, sf_dir, "events"), "event_id")
+        view = _view(table(spark, sf_dir, "events"), extra=("event_id",))
         fields = F.struct(*[F.col(f"`{c}`") for c in INCIDENT_COLUMNS])
         lines = view.select("event_id", F.to_csv(fields).alias("line"))
         header = spark.range(1).select(F.lit(header_line()).alias("value"))
