@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.functions.text import sql_double
-from blotter.operators.features import STANDARDIZED, Scale
+from blotter.operators.features import STANDARDIZED, WEIGHT, Scale
 
 # The library default seed is a hash that differs between Python processes.
 SEED = 20
@@ -69,16 +69,17 @@ def fit_gmm(
     return (model.setWeightCol(weight) if weight else model).fit(points)
 
 
-def kmeans_centers(spark: SparkSession, model: KMeansModel, scale: Scale) -> DataFrame:
+def kmeans_centers(model: KMeansModel, points: DataFrame, scale: Scale) -> DataFrame:
     """One row per cluster: its center in the original units and the rows it holds."""
+    label = model.getPredictionCol()
+    held = model.transform(points).groupBy(label).agg(F.sum(WEIGHT).alias("size"))
+    sizes = {row[label]: row["size"] for row in held.collect()}
     rows = [
-        (i, *scale.unscaled(center), int(size))
-        for i, (center, size) in enumerate(
-            zip(model.clusterCenters(), model.summary.clusterSizes)
-        )
+        (i, *scale.unscaled(center), sizes.get(i, 0))
+        for i, center in enumerate(model.clusterCenters())
     ]
     columns = [T.StructField(c, T.DoubleType()) for c in scale.columns]
-    return spark.createDataFrame(
+    return points.sparkSession.createDataFrame(
         rows,
         T.StructType(
             [

@@ -52,8 +52,3 @@ def incident_schema(codes_as_int: bool = True) -> T.StructType:
             for name, kind in INCIDENT_FIELDS
         ]
     )
-
-
-def text_schema() -> T.StructType:
-    """The same fields, all as text: for counting what the typed read rejects."""
-    return T.StructType([T.StructField(n, T.StringType(), True) for n in INCIDENT_COLUMNS])

@@ -3,7 +3,6 @@
 from blotter.sources.incidents import (
     count_rejects,
     read_incidents,
-    read_incidents_as_text,
     read_staged,
     stage_incidents,
 )
@@ -17,7 +16,6 @@ __all__ = [
     "fresh_folder",
     "header_line",
     "read_incidents",
-    "read_incidents_as_text",
     "read_lines",
     "read_staged",
     "stage_incidents",

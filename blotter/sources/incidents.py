@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.schema import INCIDENT_COLUMNS, incident_schema, text_schema
+from blotter.schema import INCIDENT_COLUMNS, incident_schema
+
+_REJECTED = "_rejected_record"
 
 
 def read_incidents(spark: SparkSession, path, codes_as_int: bool = True) -> DataFrame:
@@ -24,32 +26,28 @@ def read_incidents(spark: SparkSession, path, codes_as_int: bool = True) -> Data
     )
 
 
-def read_incidents_as_text(spark: SparkSession, path) -> DataFrame:
-    """The same file with every field as text."""
-    return spark.read.schema(text_schema()).option("header", True).csv(path)
-
-
-def count_rejects(text_df: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+def count_rejects(spark: SparkSession, path, codes_as_int: bool = True) -> DataFrame:
     """Per typed column, how many present fields do not fit the declared type.
 
-    One pass and one row per column: ``(column_name, rejected)``.
+    One pass and one row per column: ``(column_name, rejected)``. The typed read
+    itself says which records hold a field it could not convert; only those are
+    taken apart again as text, to tell a rejected field from an empty one.
     """
-    schema = schema or incident_schema()
-    typed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
-    totals = text_df.agg(
-        *[
-            F.count_if(
-                F.col(f"`{f.name}`").isNotNull()
-                & F.col(f"`{f.name}`").try_cast(f.dataType).isNull()
-            ).alias(f.name)
-            for f in typed
-        ]
+    schema = incident_schema(codes_as_int)
+    typed = [f.name for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    records = (
+        spark.read.schema(schema.add(_REJECTED, T.StringType()))
+        .option("header", True)
+        .option("columnNameOfCorruptRecord", _REJECTED)
+        .csv(path)
+        .filter(F.col(_REJECTED).isNotNull())
+    )
+    as_text = F.from_csv(F.col(_REJECTED), ", ".join(f"`{c}` string" for c in INCIDENT_COLUMNS))
+    totals = records.withColumn("text", as_text).selectExpr(
+        *[f"count_if(`{c}` is null and text.`{c}` is not null) as `{c}`" for c in typed]
     )
-    pairs = [
-        F.struct(F.lit(f.name).alias("column_name"), F.col(f"`{f.name}`").alias("rejected"))
-        for f in typed
-    ]
-    return totals.select(F.inline(F.array(*pairs)))
+    pairs = [f"struct('{c}' as column_name, `{c}` as rejected)" for c in typed]
+    return totals.selectExpr(f"inline(array({', '.join(pairs)}))")
 
 
 def stage_incidents(

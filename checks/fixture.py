@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from blotter.schema import CODE_FIELDS, INCIDENT_COLUMNS
 from blotter.sources import (
+    count_rejects,
     fresh_folder,
     header_line,
     read_incidents,
-    read_incidents_as_text,
     read_lines,
     read_staged,
     stage_incidents,
@@ -175,8 +175,8 @@ def csv_incidents(spark: SparkSession, sf_dir: str, codes_as_int: bool = True) -
     return read_incidents(spark, _csv_path(spark, sf_dir), codes_as_int)
 
 
-def csv_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_incidents_as_text(spark, _csv_path(spark, sf_dir))
+def csv_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_rejects(spark, _csv_path(spark, sf_dir))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str, skip_header: bool = False) -> DataFrame:

@@ -31,13 +31,13 @@ from blotter.plans import (
 )
 from blotter.plans.hotspots import fit_models
 from blotter.schema import COORDINATES, INCIDENT_COLUMNS
-from blotter.sources import count_rejects, fresh_folder, write_counts
+from blotter.sources import fresh_folder, write_counts
 from checks.fixture import (
     INCIDENT_SQL,
     LINES_SQL,
     TEXT_SQL,
     csv_incidents,
-    csv_text,
+    csv_rejects,
     incident_table,
     incident_view,
     lineitem_points,
@@ -106,7 +106,7 @@ _TYPED = {
     )
 )
 def csv_reject_counts(spark, sf_dir):
-    return count_rejects(csv_text(spark, sf_dir))
+    return csv_rejects(spark, sf_dir)
 
 
 @query(f"with {LINES_SQL} select value from lines")
@@ -531,7 +531,7 @@ def best_k(spark, sf_dir):
 def kmeans_fit(spark, sf_dir):
     points = prepare_points(domestic_in_homes(incident_table(spark, sf_dir)))
     model = fit_models(points, [3])[3]
-    return clustering.kmeans_centers(spark, model, points.scale)
+    return clustering.kmeans_centers(model, points.frame, points.scale)
 
 
 @query()

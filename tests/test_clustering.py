@@ -73,7 +73,7 @@ def test_collapse_keeps_every_row(planted):
 def test_kmeans_finds_planted_spots(spark, planted):
     points = prepare_points(planted)
     model = fit_models(points, [3])[3]
-    centers = clustering.kmeans_centers(spark, model, points.scale).collect()
+    centers = clustering.kmeans_centers(model, points.frame, points.scale).collect()
     found = sorted((r["Latitude"], r["Longitude"]) for r in centers)
     for got, want in zip(found, sorted(SPOTS)):
         assert got == pytest.approx(want, abs=0.002)
@@ -108,14 +108,15 @@ def test_nearest_center_takes_the_lowest_on_a_tie(spark):
     assert clustering.assign_nearest_center(df, ["x", "y"], centers[:1]).count() == 3
 
 
-def test_cluster_sizes_sum_to_the_rows(spark, domestic):
-    rows = domestic.count()
-    assigned = assign_kmeans(domestic, 4)
-    assert assigned.count() == rows
-    assert {r["prediction"] for r in assigned.collect()} == {0, 1, 2, 3}
-    points = prepare_points(domestic)
-    centers = clustering.kmeans_centers(spark, fit_models(points, [4])[4], points.scale)
-    assert centers.agg(F.sum("size")).first()[0] == points.scale.points
+def test_cluster_sizes_sum_to_the_rows(planted):
+    assigned = assign_kmeans(planted, 4)
+    assert assigned.count() == planted.count()
+    points = prepare_points(planted)
+    model = fit_models(points, [4])[4]
+    centers = clustering.kmeans_centers(model, points.frame, points.scale).collect()
+    assert sum(r["size"] for r in centers) == planted.count()
+    counted = {r["prediction"]: r["count"] for r in assigned.groupBy("prediction").count().collect()}
+    assert counted == {r["cluster"]: r["size"] for r in centers}
 
 
 def test_gmm_posterior_sums_to_one_and_peaks_at_the_prediction(domestic):

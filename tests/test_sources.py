@@ -11,7 +11,6 @@ from blotter.sources import (
     fresh_folder,
     header_line,
     read_incidents,
-    read_incidents_as_text,
     read_lines,
     read_staged,
     stage_incidents,
@@ -126,12 +125,27 @@ def test_studies_on_golden_rows(spark, golden, golden_path):
     assert ids(domestic_in_homes(golden, required=["Latitude", "Longitude"])) == [1]
 
 
+def rejects(spark, path, **options):
+    rows = count_rejects(spark, path, **options).collect()
+    return {r["column_name"]: r["rejected"] for r in rows if r["rejected"]}
+
+
 def test_reject_counts(spark, golden_path):
-    rejects = {
-        r["column_name"]: r["rejected"]
-        for r in count_rejects(read_incidents_as_text(spark, golden_path)).collect()
-    }
-    assert {c: n for c, n in rejects.items() if n} == {"IUCR": 1, "FBI Code": 1}
+    assert count_rejects(spark, golden_path).count() == 14
+    assert rejects(spark, golden_path) == {"IUCR": 1, "FBI Code": 1}
+    assert rejects(spark, golden_path, codes_as_int=False) == {}
+
+
+def test_rejects_are_what_the_reader_rejects(spark, tmp_path):
+    """Forms that a cast would take but the file reader does not."""
+    row = dict(zip(VARIED, GOLDEN[0])) | REST
+    row |= {"FBI Code": "03", "Arrest": "yes", "Beat": " 7", "Ward": "12.0", "Latitude": "north"}
+    path = tmp_path / "odd.csv"
+    path.write_text(header_line() + "\n" + ",".join(row[c] for c in INCIDENT_COLUMNS) + "\n")
+    read = read_incidents(spark, str(path)).first()
+    refused = {c for c in ("Arrest", "Beat", "Ward", "Latitude") if read[c] is None}
+    assert {"Arrest", "Ward", "Latitude"} <= refused
+    assert set(rejects(spark, str(path))) == refused
 
 
 def test_raw_lines_count_the_header_unless_skipped(spark, golden_path, golden):
