@@ -8,7 +8,6 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.operators import clustering
@@ -26,8 +25,11 @@ from blotter.sources.shared import ensure_checkpoint_dir
 
 _CENTRED = "centred"
 
-# Large enough that a pass over a partition outweighs starting its task.
-POINTS_PER_PARTITION = 200_000
+# Small partitions let a fit of few points use many cores; with very many points
+# a pass over a partition must outweigh starting its task.
+FEW_POINTS = 50_000
+MANY_POINTS = 200_000
+ENOUGH_PARTITIONS = 256
 
 
 @dataclass(frozen=True)
@@ -49,7 +51,7 @@ def prepare_points(incidents: DataFrame, coords: Sequence[str] = COORDINATES) ->
     and never the incidents again. Hash partitioning into a number of partitions
     set by the number of points, sorted inside, makes the layout depend on the
     points alone and not on how the input happened to be split or on the
-    cluster's size; so a seeded fit gives the same clusters every time.
+    cluster's size; so a seeded fit repeats, up to the rounding of sums.
 
     The frame itself is not held in memory: a fit holds its own decoded copy
     while it iterates, which is quicker than decoding a cached frame each pass.
@@ -62,7 +64,7 @@ def prepare_points(incidents: DataFrame, coords: Sequence[str] = COORDINATES) ->
         frame = (
             standardize_columns(points, scale)
             .withColumns({f"{_CENTRED}_{c}": x for c, x in zip(coords, scale.centred())})
-            .repartition(-(-scale.points // POINTS_PER_PARTITION), *coords)
+            .repartition(partitions_for(scale.points), *coords)
             .sortWithinPartitions(*coords)
             .checkpoint()
         )
@@ -71,6 +73,11 @@ def prepare_points(incidents: DataFrame, coords: Sequence[str] = COORDINATES) ->
     return PointSet(frame, scale)
 
 
+def partitions_for(points: int) -> int:
+    at_most, at_least = -(-points // FEW_POINTS), -(-points // MANY_POINTS)
+    return min(at_most, max(at_least, ENOUGH_PARTITIONS))
+
+
 def fit_models(
     points: PointSet,
     ks: Sequence[int],

@@ -43,7 +43,6 @@ from checks.fixture import (
     lineitem_points,
     quantity_bucket,
     raw_lines,
-    text_view,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -17,7 +17,7 @@ from blotter.plans import (
     score_models,
     sweep,
 )
-from blotter.plans.hotspots import fit_models
+from blotter.plans.hotspots import fit_models, partitions_for
 from checks.fixture import incident_table
 
 COORDS = ["Latitude", "Longitude"]
@@ -29,7 +29,10 @@ def planted(spark):
     """Three far-apart spots; one place holds a third of all rows."""
     rng = random.Random(7)
     rows = [(*SPOTS[i % 3],) for i in range(300)]
-    rows = [(i, lat + rng.gauss(0, 0.003), lon + rng.gauss(0, 0.003)) for i, (lat, lon) in enumerate(rows)]
+    rows = [
+        (i, lat + rng.gauss(0, 0.003), lon + rng.gauss(0, 0.003))
+        for i, (lat, lon) in enumerate(rows)
+    ]
     rows += [(300 + i, *SPOTS[0]) for i in range(150)]
     return spark.createDataFrame(rows, "ID int, Latitude double, Longitude double")
 
@@ -58,7 +61,9 @@ def test_standardized_columns_equal_the_scaler(planted):
 
 
 def test_constant_column_scales_to_zero(spark):
-    flat = spark.createDataFrame([(41.8, -87.0), (41.8, -87.5)], "Latitude double, Longitude double")
+    flat = spark.createDataFrame(
+        [(41.8, -87.0), (41.8, -87.5)], "Latitude double, Longitude double"
+    )
     scale = features.measure_scale(features.collapse_points(flat))
     rows = features.standardize_columns(flat, scale).collect()
     assert all(r[STANDARDIZED][0] == 0.0 for r in rows)
@@ -95,7 +100,9 @@ def test_every_prediction_is_the_nearest_center(domestic):
         "v", vector_to_array(STANDARDIZED)
     )
     centers = [list(map(float, c)) for c in model.clusterCenters()]
-    predicted = model.transform(scaled).withColumns({"x": F.get("v", F.lit(0)), "y": F.get("v", F.lit(1))})
+    predicted = model.transform(scaled).withColumns(
+        {"x": F.get("v", F.lit(0)), "y": F.get("v", F.lit(1))}
+    )
     both = clustering.assign_nearest_center(predicted, ["x", "y"], centers, "nearest")
     assert both.filter(F.col("prediction_5") != F.col("nearest")).count() == 0
 
@@ -269,5 +276,9 @@ def test_model_scores_agree_with_the_evaluator(domestic):
     assert math.isclose(got, want, abs_tol=1e-6)
 
 
+def test_partitions_follow_the_points():
+    assert [partitions_for(n) for n in (2, 50_000, 50_001, 2 * 10**7, 10**9)] == [1, 1, 2, 256, 5000]
+
+
 def test_studies_cover_the_cluster_counts():
     assert {s.ks for s in STUDIES.values()} == {(3,), (30,), tuple(range(3, 10))}

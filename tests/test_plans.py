@@ -13,10 +13,8 @@ from checks.fixture import csv_incidents, incident_table, lineitem_points, quant
 
 def test_year_filter_reaches_the_csv_scan(spark, sf_dir, plan):
     text = plan(csv_incidents(spark, sf_dir).filter(filters.year_range()))
-    assert re.search(
-        r"PushedFilters: \[IsNotNull\(Year\), GreaterThan\(Year,2000\), Not\(EqualTo\(Year,2021\)\)\]",
-        text,
-    )
+    pushed = "[IsNotNull(Year), GreaterThan(Year,2000), Not(EqualTo(Year,2021))]"
+    assert f"PushedFilters: {pushed}" in text
 
 
 def test_count_shuffles_once_and_reads_one_column(spark, sf_dir, plan):

@@ -104,9 +104,8 @@ def test_any_null_rule_is_that_of_na_drop(spark):
 @pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
 def test_hour_is_wall_clock_in_any_session_zone(golden, in_zone, zone):
     in_zone(zone)
-    hours = {
-        r["ID"]: r["hour"] for r in golden.select("ID", hour_of_day(F.col("Date")).alias("hour")).collect()
-    }
+    rows = golden.select("ID", hour_of_day(F.col("Date")).alias("hour")).collect()
+    hours = {r["ID"]: r["hour"] for r in rows}
     assert hours == {1: "02", 2: "23", 3: "00", 4: None, 5: None, 6: "22"}
 
 
