@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import chat_format, mixing, url_filter
+from blotter.llm import chat_format, mixing, pii, url_filter
 from blotter.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,18 @@ def op1(spark, sf_dir):
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op4_pii")
+def op4(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    found = pii.find_spans(docs, pii.fit_classifier(docs))
+    return found.select(
+        "doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS],
+        F.sha2(pii.spans_text(F.col("base")), 256).alias("base_sha256"),
+        pii.spans_text(F.concat("base", "extra")).alias("spans"),
+    )
+
+
 MIX_WEIGHTS = (5, 2, 1)
 
 _MIX_SIZED = """
