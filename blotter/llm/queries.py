@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import chat_format, mixing, pii, url_filter
+from blotter.llm import chat_format, mixing, pii, simhash, url_filter
 from blotter.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,14 @@ def op4(spark, sf_dir):
     )
 
 
+@query("op5_simhash_near_dedup")
+def op5(spark, sf_dir):
+    found = simhash.near_duplicates(simhash.fingerprints(read_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
 MIX_WEIGHTS = (5, 2, 1)
 
 _MIX_SIZED = """
