@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import chat_format, mixing, pii, simhash, toxicity, url_filter
+from blotter.llm import chat_format, decontaminate, mixing, pii, simhash, toxicity, url_filter
 from blotter.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +60,13 @@ def op1(spark, sf_dir):
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op2_decontamination")
+def op2(spark, sf_dir):
+    return decontaminate.find_leaks(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    )
+
+
 @query("op4_pii")
 def op4(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
