@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm import chat_format, decontaminate, mixing, pii, simhash, toxicity, url_filter
+from blotter.llm import (
+    chat_format,
+    decontaminate,
+    mixing,
+    pii,
+    simhash,
+    substring_dedup,
+    toxicity,
+    url_filter,
+)
 from blotter.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +96,33 @@ def op5(spark, sf_dir):
     )
 
 
+@query(
+    "op7_substring_dedup",
+    """
+    WITH words AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    windows AS (
+        SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM words)),
+    first_doc AS (SELECT k, min(doc_id) AS m FROM windows GROUP BY k),
+    covered AS (
+        SELECT DISTINCT doc_id, i + j AS p
+        FROM (SELECT doc_id, i, unnest(range(13)) AS j
+            FROM windows JOIN first_doc USING (k) WHERE m < doc_id)),
+    kept AS (
+        SELECT a.doc_id, string_agg(a.w, ' ' ORDER BY a.p) AS t, count(*) AS n
+        FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM words) a
+        ANTI JOIN covered c ON a.doc_id = c.doc_id AND a.p = c.p
+        GROUP BY a.doc_id)
+    SELECT words.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+        sha256(coalesce(t, '')) AS kept_sha256
+    FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id
+    """,
+)
+def op7(spark, sf_dir):
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 MIX_WEIGHTS = (5, 2, 1)
 
 _MIX_SIZED = """
