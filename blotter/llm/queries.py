@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.llm import (
+    ann,
     chat_format,
     decontaminate,
     mixing,
@@ -96,6 +97,12 @@ def op5(spark, sf_dir):
     )
 
 
+@query("op6_ann_search")
+def op6(spark, sf_dir):
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, F.coalesce(F.col("vec_id") % 100 == 0, F.lit(False)))
+
+
 @query(
     "op7_substring_dedup",
     """
