@@ -44,14 +44,20 @@ _RANDOM_BITS = 52
 def measure(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source"
 ) -> DataFrame:
-    """``(doc_id, source, size)``, size in words."""
+    """``(doc_id, tag, source, size)``: size in words; the tag tells apart texts that share an
+    identifier or have none."""
     return docs.select(
         F.col(id_column).alias("doc_id"),
+        text_tag(F.col(text)).alias("tag"),
         F.col(source).alias("source"),
         word_count(F.col(text)).alias("size"),
     )
 
 
+def text_tag(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def source_targets(
     sized: DataFrame, weights: Sequence[float], max_repeats: int = MAX_REPEATS
 ) -> DataFrame:
@@ -95,7 +101,7 @@ def mix(
     bins: int = BINS,
     salts: int = SALTS,
 ) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies, taken)`` for every row."""
+    """``(doc_id, tag, source, size, source_size, target, copies, taken)`` for every row."""
     dealt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int")
     targets = source_targets(sized, weights, max_repeats).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
@@ -107,7 +113,7 @@ def mix(
             targets.alias("t"),
             F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.salt") == F.col("t.salt")),
         )
-        .select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target")
+        .select("d.doc_id", "d.tag", "d.source", "d.size", "t.source_size", "t.target")
         .withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
         .withColumn("certain", F.floor("rate"))
         .withColumn("p", F.col("rate") - F.col("certain"))
@@ -120,7 +126,7 @@ def mix(
         Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     )
     filled = filled.select("source", "bin", F.coalesce(earlier, F.lit(0)).alias("below"))
-    within = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size")
+    within = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size", "tag")
     running = F.coalesce(
         F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
@@ -137,12 +143,33 @@ def mix(
         .select("r.*", "f.below")
         .withColumn("copies", copies)
         .select(
-            "doc_id", "source", "size", "source_size", "target", "copies",
+            "doc_id",
+            "tag",
+            "source",
+            "size",
+            "source_size",
+            "target",
+            "copies",
             (F.col("copies") * F.col("size")).alias("taken"),
         )
     )
 
 
+def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The documents that are in the mix, with all their columns, ``copies`` and ``taken``.
+
+    Equal rows share an entry of the mix, the one with most copies.
+    """
+    entries = mixed.groupBy("doc_id", "tag").agg(
+        F.max("copies").alias("copies"), F.max("taken").alias("taken")
+    )
+    tagged = docs.select("*", text_tag(F.col("text")).alias("tag")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.tag").eqNullSafe(F.col("m.tag"))
+    return tagged.join(entries.filter("copies > 0").alias("m"), same).select(
+        *[F.col(f"d.`{c}`") for c in docs.columns], "m.copies", "m.taken"
+    )
+
+
 def pareto_rank(identifier: Column, p: Column, seed: int) -> Column:
     """Random odds over inclusion odds; null where nothing is left to chance."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), identifier.cast("string")))

@@ -15,6 +15,7 @@ from blotter.llm import (
     pii,
     simhash,
     substring_dedup,
+    token_counts,
     toxicity,
     url_filter,
 )
@@ -77,6 +78,13 @@ def op2(spark, sf_dir):
     )
 
 
+@query("op3_token_counts")
+def op3(spark, sf_dir):
+    return token_counts.count_tokens(
+        read_table(spark, sf_dir, "documents"), token_counts.load_vocabulary()
+    )
+
+
 @query("op4_pii")
 def op4(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")

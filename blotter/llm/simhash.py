@@ -36,7 +36,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.llm.common import NOT_WHITE, lower_ascii, staged
@@ -124,6 +124,24 @@ def near_duplicates(
     )
 
 
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each component, the one its smallest identifier names, with all columns.
+
+    Of rows that repeat an identifier one stays; rows without one are no duplicates and stay.
+    The join and the window share one shuffle.
+    """
+    first = found.filter("doc_id = component_id").select("doc_id").distinct()
+    place = "place among rows of one identifier"
+    of_one = Window.partitionBy("doc_id").orderBy("text")
+    named = (
+        docs.join(first, "doc_id", "left_semi")
+        .withColumn(place, F.row_number().over(of_one))
+        .filter(F.col(f"`{place}`") == 1)
+        .drop(place)
+    )
+    return named.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def _links(classes: DataFrame, distance: int, group: int) -> DataFrame:
     """``(a, b)`` edges between classes' first documents that span every component."""
 

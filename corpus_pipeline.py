@@ -2,7 +2,9 @@
 
 A stage is ``(spark, docs, sf_dir) -> DataFrame``. Its result is written as Parquet to the
 folder all executors share and read again as the next stage's documents, so a lost
-executor or a failed stage never repeats the stages before it.
+executor or a failed stage never repeats the stages before it. All stages but the last keep
+the columns of ``documents``; the last adds how often the mix takes a document and how many
+words that makes.
 """
 
 from __future__ import annotations
@@ -10,12 +12,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from blotter.llm import decontaminate, mixing, pii, simhash, toxicity
 from blotter.llm.common import read_table, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+MIX_WEIGHTS = (5, 2, 1)
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. Labels kept for tests are not learnt from."""
+    labels = read_table(spark, sf_dir, "labels")
+    network = toxicity.fit(docs, labels.filter(~toxicity.is_held_out(F.col("doc_id"))))
+    if network is None:
+        return docs
+    score = toxicity.score_text(docs, network)
+    return docs.filter(score(F.col("text").cast("string")) < toxicity.THRESHOLD)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component the document with the smallest identifier."""
+    found = simhash.near_duplicates(simhash.fingerprints(docs))
+    return simhash.keep_first(docs, found)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return decontaminate.remove_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    clean = pii.redact(docs, pii.fit_classifier(docs))
+    length = F.length("text").cast("long")
+    return clean.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes."""
+    return mixing.mixed_documents(docs, mixing.mix(mixing.measure(docs), MIX_WEIGHTS))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_leaks),
+    ("personal_data", without_personal_data),
+    ("mixing", mixed),
+]
 
 # The toxicity model and the near-duplicate components have no SQL form.
 ORACLE_SQL = None
