@@ -215,18 +215,19 @@ class Index:
             & (band[last] == band[k])
             & (place[last] - place[k] <= self.widths[item[k]] - Q)
         )
-        regions, before = [], None
-        for i, b, first, end in zip(
-            item[k[enough]].tolist(), band[k[enough]].tolist(), place[k[enough]].tolist(), place[last[enough]].tolist()
-        ):
-            # Of the windows that hold these q-grams the leftmost and the rightmost are looked at.
-            width, length = int(self.widths[i]), len(self.codes[i])
-            for s in {max(0, end + Q - width), min(first, length - width)}:
-                if before is None or before[:2] != (i, b) or s not in before[2]:
-                    if before is None or before[:2] != (i, b):
-                        before = (i, b, set())
-                    before[2].add(s)
-                    regions.append((i, s, b * (int(self.budgets[i]) + 1)))
+        k, last = k[enough], last[enough]
+        # These q-grams lie in every window from the first that ends with them on.
+        low = np.maximum(0, place[last] + Q - self.widths[item[k]])
+        high = np.minimum(place[k], np.array([len(c) for c in self.codes])[item[k]] - self.widths[item[k]])
+        regions = []
+        groups = np.flatnonzero(np.append(True, (item[k][1:] != item[k][:-1]) | (band[k][1:] != band[k][:-1])))
+        for start, end in zip(groups.tolist(), [*groups[1:].tolist(), len(k)]) if len(k) else ():
+            i = int(item[k[start]])
+            change = np.zeros(len(self.codes[i]) + 2, dtype=np.int64)
+            np.add.at(change, low[start:end], 1)
+            np.add.at(change, high[start:end] + 1, -1)
+            lowest = int(band[k[start]]) * (int(self.budgets[i]) + 1)
+            regions += [(i, s, lowest) for s in np.flatnonzero(np.cumsum(change) > 0).tolist()]
         return regions
 
     def _align(self, codes: np.ndarray, i: int, regions: np.ndarray) -> np.ndarray:
