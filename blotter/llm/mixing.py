@@ -79,17 +79,18 @@ def source_targets(
     before = by_need.rowsBetween(Window.unboundedPreceding, -1)
     onwards = by_need.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     left = F.sum("source_size").over(everywhere) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
-    level = left / F.sum("weight").over(onwards)
-    levelled = weighed.withColumn("level", level).withColumn(
-        "open", F.col("level") * F.col("weight") < F.col("cap")
+    levelled = weighed.withColumns(
+        {"level": left / F.sum("weight").over(onwards), "n": F.row_number().over(by_need)}
     )
-    reached = F.min(F.when(F.col("open"), F.col("cap") / F.col("weight"))).over(everywhere)
-    final = F.min_by("level", F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(everywhere)
-    at_cap = reached.isNull() | (F.col("cap") / F.col("weight") < reached)
-    return levelled.select(
+    # The first source that the level leaves below its cap is the first without a cap to keep.
+    below = F.when(F.col("level") * F.col("weight") < F.col("cap"), F.struct("n", "level"))
+    first = F.min(below).over(everywhere)
+    return levelled.withColumn("first", first).select(
         "source",
         "source_size",
-        F.when(at_cap, F.col("cap")).otherwise(F.least(F.col("cap"), final * F.col("weight"))).alias("target"),
+        F.when(F.col("first").isNull() | (F.col("n") < F.col("first.n")), F.col("cap"))
+        .otherwise(F.least(F.col("cap"), F.col("first.level") * F.col("weight")))
+        .alias("target"),
     )
 
 

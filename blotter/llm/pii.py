@@ -44,7 +44,7 @@ _EMAIL = (
 _IP = r"[0-9](?:(?<=\G[0-9])|(?<![0-9][0-9]))[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][ -][0-9])(?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_IP_PARTS = r"^0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])$"
+_IP_PARTS = r"^0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])$"
 
 _CANDIDATES = {
     "local_phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])",
