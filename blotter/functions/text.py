@@ -28,10 +28,5 @@ def field_at(text: Column, index: int, sep: str = ",") -> Column:
     return F.get(F.split(text, _literal(sep), index + 2), F.lit(index))
 
 
-def sql_double(value: float) -> str:
-    """A double as a SQL literal, exact to the last bit."""
-    return f"({float(value)!r}D)"
-
-
 def _literal(sep: str) -> str:
     return sep if sep in (",", " ", "\t") else rf"\Q{sep}\E"

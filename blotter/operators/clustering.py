@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from functools import reduce
+from operator import add, and_
 
 from pyspark.ml.clustering import (
     GaussianMixture,
@@ -14,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.functions.text import sql_double
 from blotter.operators.features import STANDARDIZED, WEIGHT, Scale
 
 # The library default seed is a hash that differs between Python processes.
@@ -122,19 +124,25 @@ def gmm_components(spark: SparkSession, model: GaussianMixtureModel, scale: Scal
 def nearest_center(columns: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
     """Index of the nearest of the given centers, the lowest one on a tie.
 
-    The centers enter the plan as constants, so assignment is a projection: no
-    join, no shuffle, no vectors.
+    The centers are one constant array of the plan, so assignment is a projection
+    whose size does not depend on their number: no join, no shuffle, no vectors.
     """
-    distances = [
-        " + ".join(
-            f"(`{c}` - {sql_double(v)}) * (`{c}` - {sql_double(v)})"
-            for c, v in zip(columns, center)
-        )
-        for center in centers
-    ]
-    every = ", ".join(distances)
-    nearest = f"least({every})" if len(distances) > 1 else every
-    return F.expr(f"cast(array_position(array({every}), {nearest}) - 1 as int)")
+    listed = F.from_json(F.lit(json.dumps([[float(v) for v in c] for c in centers])), "array<array<double>>")
+    distances = F.transform(
+        listed,
+        lambda center, i: F.struct(
+            reduce(
+                add,
+                [
+                    (F.col(f"`{c}`") - center[j]) * (F.col(f"`{c}`") - center[j])
+                    for j, c in enumerate(columns)
+                ],
+            ).alias("distance"),
+            i.alias("index"),
+        ),
+    )
+    known = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in columns])
+    return F.when(known, F.array_min(distances)["index"]).cast("int")
 
 
 def assign_nearest_center(

@@ -1,41 +1,36 @@
-"""Silhouette with squared Euclidean distance, as two aggregations.
+"""Silhouette with squared Euclidean distance, as aggregations.
 
 The mean squared distance from a point to all members of a cluster follows from
 the cluster's size, coordinate sums and sum of squared norms alone. So the score
 needs one pass for those sums and one pass for the points, and never pairs points.
+
+The sums stay a table. A point meets its own cluster by an equi-join on the label
+and the others as arrays of up to ``BLOCK`` clusters, so neither the plan nor the
+generated code grows with the number of clusters, and nothing is collected.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
 from operator import add, and_
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.functions.text import sql_double
-
-# The per-cluster sums become constants of the second pass, as cluster centers
-# do. A label with more values than this is taken to be a mistake (such as a row
-# id) and is refused before it can reach the driver.
-MAX_CLUSTERS = 10_000
+# Clusters that one array holds. More clusters make more arrays, not larger ones.
+BLOCK = 1024
+# Parts into which the points of a labelling are dealt when they meet the arrays.
+SALTS = 32
 
 
 def cluster_sums(
     df: DataFrame, coords: Sequence[str], labels: Sequence[str], weight: str | None = None
 ) -> DataFrame:
     """Size, coordinate sums and squared-norm sum per labelling (by position) and label."""
-    w = F.col(weight) if weight else F.lit(1)
-    xs = [F.col(c) for c in coords]
-    tagged = [
-        F.struct(F.lit(i).alias("labelling"), F.col(f"`{name}`").cast("int").alias("label"))
-        for i, name in enumerate(labels)
-    ]
+    xs = [F.col(f"x{i}") for i in range(len(coords))]
     return (
-        _complete(df, coords, labels)
-        .select(*xs, w.alias("w"), F.inline(F.array(*tagged)))
+        _labelled(df, coords, labels, weight)
         .groupBy("labelling", "label")
         .agg(
             F.sum("w").alias("n"),
@@ -45,100 +40,107 @@ def cluster_sums(
     )
 
 
-def point_silhouette(coords: Sequence[str], label: str, sums: Sequence[Row]) -> Column:
-    """Silhouette of one row of the given label: how much nearer its own cluster is.
-
-    The expression is kept small on purpose. The JVM never compiles a method of
-    more than 8,000 bytes, so what all clusters share is taken out of the list
-    of distances, and the row's own cluster is looked up instead of spelled out.
-    It is SQL text because one parse is far quicker than a call per operator.
-    """
-    xs = [f"`{c}`" for c in coords]
-    key = f"cast(`{label}` as int)"
-    norm = " + ".join(f"{x} * {x}" for x in xs)
-
-    others = ", ".join(
-        f"case when {key} = {s['label']} then double('infinity')"
-        f" else {_affine(_offset(len(xs), s), xs)} end"
-        for s in sums
-    )
-    b = f"({norm} + least({others}))"
-
-    own = f"map({', '.join(_own_entry(len(xs), s) for s in sums)})[{key}]"
-    terms = [f"{own}[{i}]" for i in range(len(xs) + 2)]
-    a = f"(({norm} + {_affine(terms[:-1], xs)}) * {terms[-1]})"
-    return F.expr(f"coalesce(try_divide({b} - {a}, greatest({a}, {b})), 0D)")
-
-
 def silhouette_scores(
     df: DataFrame, coords: Sequence[str], labels: Sequence[str], weight: str | None = None
 ) -> DataFrame:
-    """``(labelling, clusters, silhouette)``, one row per label column.
+    """``(labelling, clusters, silhouette)``, one row per label column, null ones too.
 
-    All labellings share the two passes. A labelling of fewer than two clusters
-    has no silhouette and gives null. With ``weight`` a row counts as that many
-    equal rows, each of which still has its copies as neighbours.
+    All labellings share the passes. A labelling of fewer than two clusters has no
+    silhouette and gives null. With ``weight`` a row counts as that many equal rows,
+    each of which still has its copies as neighbours.
     """
-    sums = defaultdict(list)
-    found = cluster_sums(df, coords, labels, weight).limit(MAX_CLUSTERS * len(labels) + 1)
-    for row in found.collect():
-        sums[labels[row["labelling"]]].append(row)
-    for name in labels:
-        if len(sums[name]) > MAX_CLUSTERS:
-            raise ValueError(f"{name} has more than {MAX_CLUSTERS} labels; is it a cluster id?")
-        sums[name].sort(key=lambda row: row["label"])
-
-    scored = [name for name in labels if len(sums[name]) > 1]
-    w = F.col(weight) if weight else F.lit(1)
-    means = _complete(df, coords, labels).agg(
-        F.sum(w).alias("total"),
-        *[
-            (F.sum(w * point_silhouette(coords, name, sums[name])) / F.sum(w)).alias(name)
-            for name in scored
-        ],
+    spark, size = df.sparkSession, len(coords)
+    sums = cluster_sums(df, coords, labels, weight).persist()
+    widest = sums.select(F.max(F.abs(F.floor(F.col("label") / BLOCK)))).first()[0]
+
+    terms = sums.select(
+        "labelling", "label", "n", *[c.alias(f"t{i}") for i, c in enumerate(_terms(size))]
+    )
+    named = [f"t{i}" for i in range(size + 1)]
+    own = terms.select(
+        "labelling",
+        "label",
+        *[F.col(t).alias(f"own_{t}") for t in named],
+        (F.col("n") / F.nullif(F.col("n") - 1, F.lit(0))).alias("others"),
+    )
+    blocks = (
+        terms.withColumn("block", F.floor(F.col("label") / BLOCK))
+        .groupBy("labelling", "block")
+        .agg(F.collect_list(F.struct("label", *named)).alias("clusters"))
+        .select("labelling", "clusters", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    )
+    points = _labelled(df, coords, labels, weight)
+    near = F.aggregate(
+        "clusters",
+        F.lit(None).cast("double"),
+        lambda least, c: F.when(c["label"] == F.col("label"), least).otherwise(
+            F.least(least, _affine([c[t] for t in named]))
+        ),
+    )
+    placed = (
+        points.join(own, ["labelling", "label"])
+        .withColumn("salt", F.pmod(F.hash(*[f"x{i}" for i in range(size)]), F.lit(SALTS)))
+        .join(blocks, ["labelling", "salt"])
+        .withColumn("near", near)
+        .drop("clusters", "salt")
     )
-    rows = [
-        F.struct(
-            F.lit(name).alias("labelling"),
-            F.lit(len(sums[name])).alias("clusters"),
-            (F.col(f"`{name}`") if name in scored else F.lit(None).cast("double")).alias(
-                "silhouette"
-            ),
+    if widest:  # clusters fill several arrays, so a point's nearest is found over its rows
+        same = [c for c in placed.columns if c not in ("w", "near")]
+        placed = placed.groupBy(*same).agg(F.sum("w").alias("w"), F.min("near").alias("near"))
+        arrays = blocks.filter("salt = 0").groupBy("labelling").agg(F.count(F.lit(1)).alias("arrays"))
+        placed = placed.join(arrays, "labelling").withColumn("w", F.col("w") / F.col("arrays"))
+    norm = reduce(add, [F.col(f"x{i}") * F.col(f"x{i}") for i in range(size)])
+    a = (norm + _affine([F.col(f"own_{t}") for t in named])) * F.col("others")
+    b = norm + F.col("near")
+    score = F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))
+    means = placed.groupBy("labelling").agg(
+        (F.sum(F.col("w") * score) / F.sum("w")).alias("silhouette")
+    )
+    counted = sums.groupBy("labelling").agg(F.count(F.lit(1)).cast("int").alias("clusters"))
+    names = spark.range(1).select(
+        F.posexplode(F.array(*[F.lit(name) for name in labels])).alias("labelling", "name")
+    )
+    return (
+        names.join(counted, "labelling", "left")
+        .join(means, "labelling", "left")
+        .select(
+            F.col("name").alias("labelling"),
+            F.coalesce("clusters", F.lit(0)).alias("clusters"),
+            F.when(F.col("clusters") > 1, F.col("silhouette")).alias("silhouette"),
         )
-        for name in labels
-    ]
-    return means.select(F.inline(F.array(*rows)))
+    )
 
 
 def best_k(scores: DataFrame) -> DataFrame:
-    """The k with the highest silhouette, the lowest such k on a tie, and that score."""
-    rank = F.struct(F.col("silhouette"), -F.col("k"))
-    return scores.agg(
-        F.max_by("k", rank).alias("k"), F.max("silhouette").alias("silhouette")
-    )
-
+    """The k with the highest silhouette, the lowest such k on a tie, and that score.
 
-def _offset(dimensions: int, s: Row) -> list[str]:
-    """What a cluster adds to a point's squared norm in the mean squared distance:
-    a constant and one factor per coordinate."""
-    factors = [-2 * s[f"sum_{i}"] / s["n"] for i in range(dimensions)]
-    return [sql_double(v) for v in (s["squares"] / s["n"], *factors)]
+    Without any score there is no best k: both are null.
+    """
+    rank = F.when(F.col("silhouette").isNotNull(), F.struct("silhouette", -F.col("k")))
+    return scores.agg(F.max_by("k", rank).alias("k"), F.max("silhouette").alias("silhouette"))
 
 
-def _affine(offset: Sequence[str], xs: Sequence[str]) -> str:
-    constant, *factors = offset
-    return " + ".join([constant, *[f"{x} * {f}" for x, f in zip(xs, factors)]])
+def _labelled(df: DataFrame, coords, labels, weight: str | None) -> DataFrame:
+    """A row for each row and labelling, where coordinates and labels are all known."""
+    known = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in (*coords, *labels)])
+    tagged = [
+        F.struct(F.lit(i).alias("labelling"), F.col(f"`{name}`").cast("int").alias("label"))
+        for i, name in enumerate(labels)
+    ]
+    return df.filter(known).select(
+        *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(coords)],
+        (F.col(f"`{weight}`") if weight else F.lit(1)).alias("w"),
+        F.inline(F.array(*tagged)),
+    )
 
 
-def _own_entry(dimensions: int, s: Row) -> str:
-    """Label to offset and the factor from the mean over all members to the mean
-    over the others. A cluster of one has no others: null, hence a silhouette of 0."""
-    if s["n"] == 1:
-        return f"{s['label']}, cast(null as array<double>)"
-    terms = [*_offset(dimensions, s), sql_double(s["n"] / (s["n"] - 1))]
-    return f"{s['label']}, array({', '.join(terms)})"
+def _terms(dimensions: int) -> list[Column]:
+    """What a cluster adds to a point's squared norm in the mean squared distance:
+    a constant and one factor per coordinate."""
+    factors = [-2 * F.col(f"sum_{i}") / F.col("n") for i in range(dimensions)]
+    return [F.col("squares") / F.col("n"), *factors]
 
 
-def _complete(df: DataFrame, coords: Sequence[str], labels: Sequence[str]) -> DataFrame:
-    """Rows with a place and labels. Known non-null columns also make short code."""
-    return df.filter(reduce(and_, [F.col(f"`{c}`").isNotNull() for c in (*coords, *labels)]))
+def _affine(terms: Sequence[Column]) -> Column:
+    constant, *factors = terms
+    return reduce(add, [F.col(f"x{i}") * f for i, f in enumerate(factors)], constant)

@@ -4,7 +4,6 @@ from blotter.plans.hotspots import (
     PointSet,
     assign_gmm,
     assign_kmeans,
-    cluster_map,
     prepare_points,
     score_models,
     sweep,
@@ -16,6 +15,7 @@ from blotter.plans.studies import (
     street_at_night,
     street_by_day,
 )
+from blotter.sources.sinks import cluster_map
 
 __all__ = [
     "STUDIES",

@@ -21,61 +21,79 @@ from blotter.operators.features import (
 )
 from blotter.operators.scoring import silhouette_scores
 from blotter.schema import COORDINATES
-from blotter.sources.shared import ensure_checkpoint_dir
+from blotter.sources.shared import fresh_folder, remove_folder
 
 _CENTRED = "centred"
 
-# Small partitions let a fit of few points use many cores; with very many points
-# a pass over a partition must outweigh starting its task.
-FEW_POINTS = 50_000
-MANY_POINTS = 200_000
-ENOUGH_PARTITIONS = 256
+# A task's share of the points: a pass over it outweighs starting the task, and some tasks are
+# there from small sizes on.
+POINTS_PER_PARTITION = 20_000
+LEAST_PARTITIONS = 8
+# Fits that run side by side. They share the points held, so this costs no memory by size.
+PARALLELISM = 4
 
 
 @dataclass(frozen=True)
 class PointSet:
-    """Weighted distinct points ready for repeated passes, and their scale."""
+    """Weighted distinct points ready for repeated passes, and their scale.
+
+    ``close`` (or leaving the ``with`` block) frees the memory and the files behind it.
+    """
 
     frame: DataFrame
     scale: Scale
+    folder: str
 
     @property
     def centred(self) -> list[str]:
         return [f"{_CENTRED}_{c}" for c in self.scale.columns]
 
+    def close(self) -> None:
+        self.frame.unpersist()
+        remove_folder(self.frame.sparkSession, self.folder)
 
-def prepare_points(incidents: DataFrame, coords: Sequence[str] = COORDINATES) -> PointSet:
-    """Collapse incidents to weighted points and write them to the shared folder.
+    def __enter__(self) -> PointSet:
+        return self
 
-    The checkpoint means every later pass, and every lost executor, reads points
-    and never the incidents again. Hash partitioning into a number of partitions
-    set by the number of points, sorted inside, makes the layout depend on the
-    points alone and not on how the input happened to be split or on the
-    cluster's size; so a seeded fit repeats, up to the rounding of sums.
+    def __exit__(self, *_) -> None:
+        self.close()
 
-    The frame itself is not held in memory: a fit holds its own decoded copy
-    while it iterates, which is quicker than decoding a cached frame each pass.
+
+def prepare_points(
+    incidents: DataFrame,
+    coords: Sequence[str] = COORDINATES,
+    points_per_partition: int = POINTS_PER_PARTITION,
+) -> PointSet:
+    """Collapse incidents to weighted points and write them to the shared folder.
+
+    Every later pass, and every lost executor, reads points and never the incidents
+    again. The points are held once, as vectors, and all fits and scores read that copy.
+    Hash partitioning into one partition per ``points_per_partition`` points (and
+    ``LEAST_PARTITIONS`` at least), sorted inside, makes the layout depend on the points
+    alone and not on how the input happened to be split; so a seeded fit repeats, up to
+    the rounding of sums.
     """
-    ensure_checkpoint_dir(incidents.sparkSession)
-    points = collapse_points(incidents.select(*coords), coords)
-    points.persist(StorageLevel.MEMORY_AND_DISK)
+    spark = incidents.sparkSession
+    folder = fresh_folder(spark, "points")
     try:
+        collapse_points(incidents.select(*coords), coords).write.parquet(folder)
+        points = spark.read.parquet(folder)
         scale = measure_scale(points, coords)
-        frame = (
-            standardize_columns(points, scale)
-            .withColumns({f"{_CENTRED}_{c}": x for c, x in zip(coords, scale.centred())})
-            .repartition(partitions_for(scale.points), *coords)
-            .sortWithinPartitions(*coords)
-            .checkpoint()
-        )
-    finally:
-        points.unpersist()
-    return PointSet(frame, scale)
+    except BaseException:
+        remove_folder(spark, folder)
+        raise
+    frame = (
+        standardize_columns(points, scale)
+        .withColumns({f"{_CENTRED}_{c}": x for c, x in zip(coords, scale.centred())})
+        .repartition(partitions_for(scale.points, points_per_partition), *coords)
+        .sortWithinPartitions(*coords)
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
+    return PointSet(frame, scale, folder)
 
 
-def partitions_for(points: int) -> int:
-    at_most, at_least = -(-points // FEW_POINTS), -(-points // MANY_POINTS)
-    return min(at_most, max(at_least, ENOUGH_PARTITIONS))
+def partitions_for(points: int, points_per_partition: int = POINTS_PER_PARTITION) -> int:
+    return max(LEAST_PARTITIONS, -(-points // points_per_partition))
 
 
 def fit_models(
@@ -84,7 +102,7 @@ def fit_models(
     algorithm: str = "kmeans",
     seed: int = clustering.SEED,
     max_iter: int | None = None,
-    parallelism: int = 8,
+    parallelism: int = PARALLELISM,
 ) -> dict:
     """One model per k. Fits are independent, so a few run side by side."""
     fit = {"kmeans": clustering.fit_kmeans, "gmm": clustering.fit_gmm}[algorithm]
@@ -146,11 +164,12 @@ def sweep(
     algorithm: str = "kmeans",
     seed: int = clustering.SEED,
     max_iter: int | None = None,
-    parallelism: int = 8,
+    parallelism: int = PARALLELISM,
 ) -> DataFrame:
     """Fit and score every k over one prepared set of points."""
-    points = prepare_points(incidents)
-    return score_models(points, fit_models(points, ks, algorithm, seed, max_iter, parallelism))
+    with prepare_points(incidents) as points:
+        models = fit_models(points, ks, algorithm, seed, max_iter, parallelism)
+        return score_models(points, models)
 
 
 def assign_kmeans(
@@ -167,15 +186,9 @@ def assign_gmm(
     return _fit_and_assign(incidents, k, "gmm", seed, max_iter)
 
 
-def cluster_map(clustered: DataFrame, coords: Sequence[str] = COORDINATES) -> DataFrame:
-    """What a map needs: longitude, latitude and cluster of each incident together."""
-    latitude, longitude = coords
-    return clustered.select(longitude, latitude, "prediction")
-
-
 def _fit_and_assign(incidents, k, algorithm, seed, max_iter) -> DataFrame:
-    points = prepare_points(incidents)
-    model = fit_models(points, [k], algorithm, seed, max_iter)[k]
+    with prepare_points(incidents) as points:
+        model = fit_models(points, [k], algorithm, seed, max_iter)[k]
     model = model.setPredictionCol("prediction")
     if algorithm == "gmm":
         model = model.setProbabilityCol("probability")

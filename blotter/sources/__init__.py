@@ -7,17 +7,19 @@ from blotter.sources.incidents import (
     stage_incidents,
 )
 from blotter.sources.lines import header_line, read_lines
-from blotter.sources.shared import ensure_checkpoint_dir, fresh_folder
-from blotter.sources.sinks import write_cluster_map, write_counts, write_scores
+from blotter.sources.shared import fresh_folder, remove_folder, shared_root
+from blotter.sources.sinks import cluster_map, write_cluster_map, write_counts, write_scores
 
 __all__ = [
+    "cluster_map",
     "count_rejects",
-    "ensure_checkpoint_dir",
     "fresh_folder",
     "header_line",
     "read_incidents",
     "read_lines",
     "read_staged",
+    "remove_folder",
+    "shared_root",
     "stage_incidents",
     "write_cluster_map",
     "write_counts",

@@ -2,48 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session without that setting gets a temporary folder of its own.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.rstrip("/") if root else _checkpoint_dir(spark)
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable, leaving a folder already set alone."""
-    _checkpoint_dir(spark)
+    """The folder all executors share: what ``spark.checkpoint.dir`` names, or what the caller
+    gave to ``setCheckpointDir``. None is made up, as it would be local to one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return root.rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A new, not yet existing path in the shared folder, dropped when Spark ends."""
     parent = f"{shared_root(spark)}/blotter-{spark.sparkContext.applicationId}"
-    _create_until_exit(spark, parent)
+    path, files = _place(spark, parent)
+    files.mkdirs(path)
+    files.deleteOnExit(path)
     return f"{parent}/{purpose}-{uuid.uuid4().hex}"
 
 
-def _checkpoint_dir(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            root = tempfile.mkdtemp(prefix="blotter-")
-            _create_until_exit(spark, root)
-        context.setCheckpointDir(root)
-    return context.getCheckpointDir().rstrip("/")
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder made below the shared one, with all in it, if it is there."""
+    if not folder.startswith(f"{shared_root(spark)}/"):
+        raise ValueError(f"{folder} is not in the shared folder")
+    path, files = _place(spark, folder)
+    files.delete(path, True)
 
 
-def _create_until_exit(spark: SparkSession, folder: str) -> None:
+def _place(spark: SparkSession, folder: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(path)
-    files.deleteOnExit(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

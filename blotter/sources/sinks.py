@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from blotter.schema import COORDINATES
 
@@ -15,10 +16,13 @@ def write_counts(counts: DataFrame, path: str, mode: str = "errorifexists") -> N
 
 def write_cluster_map(clustered: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Everything a map of the clusters needs: one (lon, lat, cluster) row per incident."""
-    latitude, longitude = COORDINATES
-    clustered.select(F.col(longitude), F.col(latitude), F.col("prediction")).write.mode(
-        mode
-    ).parquet(path)
+    cluster_map(clustered).write.mode(mode).parquet(path)
+
+
+def cluster_map(clustered: DataFrame, coords: Sequence[str] = COORDINATES) -> DataFrame:
+    """What a map needs: longitude, latitude and cluster of each incident together."""
+    latitude, longitude = coords
+    return clustered.select(longitude, latitude, "prediction")
 
 
 def write_scores(scores: DataFrame, path: str, mode: str = "errorifexists") -> None:

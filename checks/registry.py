@@ -48,9 +48,6 @@ from checks.fixture import (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-# EM is kept short here so that the check stays quick; the default is 100.
-GMM_CHECK_ITER = 20
-
 
 def query(sql: str | None = None, name: str | None = None):
     def register(fn):
@@ -440,11 +437,11 @@ def collapse_points(spark, sf_dir):
 CENTERS = [(41.65, -87.85), (41.75, -87.75), (41.85, -87.65), (41.95, -87.55), (41.75, -87.65)]
 
 
-def _center_sql(selected: str) -> str:
+def _center_sql(selected: str, centers=CENTERS) -> str:
     distances = ", ".join(
         f'("Latitude" - ({lat}::double)) * ("Latitude" - ({lat}::double))'
         f' + ("Longitude" - ({lon}::double)) * ("Longitude" - ({lon}::double))'
-        for lat, lon in CENTERS
+        for lat, lon in centers
     )
     found = f"list_position([{distances}], list_min([{distances}]))"
     return _study_sql(_DOMESTIC, f'{selected}, cast({found} - 1 as integer) as prediction')
@@ -467,10 +464,13 @@ def cluster_map_points(spark, sf_dir):
 _POINT = ("l_quantity", "l_extendedprice")
 
 
-def _silhouette_sql(ks) -> str:
+_BUCKET = "cast(floor((l_quantity - 1) * {k} / 50) as integer)"
+
+
+def _silhouette_sql(ks, label: str = _BUCKET) -> str:
     """Labels are k equal quantity buckets; same sums, written as a self-free join."""
     labelled = " union all ".join(
-        f"select {k} as k, cast(floor((l_quantity - 1) * {k} / 50) as integer) as label,"
+        f"select {k} as k, {label.format(k=k)} as label,"
         " l_quantity as x, l_extendedprice as y from lineitem"
         for k in ks
     )
@@ -501,6 +501,30 @@ def silhouette_score(spark, sf_dir):
     )
 
 
+# Hundreds of clusters: quantity by price band.
+_MANY_LABEL = "cast(l_quantity as int) * 10 + cast(floor(l_extendedprice / 10000) as int)"
+
+
+@query(f"with {_silhouette_sql([1], _MANY_LABEL)} select round(silhouette, 6) as silhouette from scores")
+def silhouette_many_clusters(spark, sf_dir):
+    points = lineitem_points(spark, sf_dir).withColumn("label", F.expr(_MANY_LABEL))
+    return scoring.silhouette_scores(points, _POINT, ["label"]).select(
+        F.round("silhouette", 6).alias("silhouette")
+    )
+
+
+# A lattice of centers finer than the places, in the hundreds.
+MANY_CENTERS = [(41.6 + i * 0.021, -87.9 + j * 0.019) for i in range(20) for j in range(20)]
+
+
+@query(_center_sql('"ID"', MANY_CENTERS))
+def assign_many_centers(spark, sf_dir):
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
+    return clustering.assign_nearest_center(incidents, COORDINATES, MANY_CENTERS).select(
+        "ID", "prediction"
+    )
+
+
 _SCORE_KS = STUDIES["domestic_kmeans_3_to_9"].ks
 
 
@@ -528,9 +552,9 @@ def best_k(spark, sf_dir):
 
 @query()
 def kmeans_fit(spark, sf_dir):
-    points = prepare_points(domestic_in_homes(incident_table(spark, sf_dir)))
-    model = fit_models(points, [3])[3]
-    return clustering.kmeans_centers(model, points.frame, points.scale)
+    with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
+        model = fit_models(points, [3])[3]
+        return clustering.kmeans_centers(model, points.frame, points.scale)
 
 
 @query()
@@ -541,24 +565,23 @@ def kmeans_predict(spark, sf_dir):
 
 @query()
 def gmm_fit(spark, sf_dir):
-    points = prepare_points(domestic_in_homes(incident_table(spark, sf_dir)))
-    model = fit_models(points, [3], "gmm", max_iter=GMM_CHECK_ITER)[3]
+    with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
+        model = fit_models(points, [3], "gmm")[3]
     return clustering.gmm_components(spark, model, points.scale)
 
 
 @query()
 def gmm_predict(spark, sf_dir):
     incidents = domestic_in_homes(incident_table(spark, sf_dir))
-    assigned = assign_gmm(incidents, 3, max_iter=GMM_CHECK_ITER)
+    assigned = assign_gmm(incidents, 3)
     return assigned.select(
         "ID", *COORDINATES, "prediction", vector_to_array("probability").alias("probability")
     )
 
 
-def _study(spark, sf_dir, name: str, max_iter: int | None = None) -> DataFrame:
+def _study(spark, sf_dir, name: str) -> DataFrame:
     study = STUDIES[name]
-    incidents = study.select(incident_table(spark, sf_dir))
-    return sweep(incidents, study.ks, study.algorithm, max_iter=max_iter)
+    return sweep(study.select(incident_table(spark, sf_dir)), study.ks, study.algorithm)
 
 
 @query()
@@ -568,7 +591,7 @@ def kmeans_k_sweep(spark, sf_dir):
 
 @query()
 def gmm_k_sweep(spark, sf_dir):
-    return _study(spark, sf_dir, "domestic_gmm_3_to_9", GMM_CHECK_ITER)
+    return _study(spark, sf_dir, "domestic_gmm_3_to_9")
 
 
 @query()

@@ -1,5 +1,6 @@
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -18,6 +19,7 @@ from blotter.plans import (
     sweep,
 )
 from blotter.plans.hotspots import fit_models, partitions_for
+from blotter.sources import shared_root
 from checks.fixture import incident_table
 
 COORDS = ["Latitude", "Longitude"]
@@ -253,11 +255,36 @@ def test_all_labellings_in_one_call(spark, labelled_rows):
     assert rows["one"]["silhouette"] is None and rows["one"]["clusters"] == 1
 
 
-def test_row_ids_as_labels_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(scoring, "MAX_CLUSTERS", 50)
-    df = spark.range(60).selectExpr("id * 1.0d as x", "id * 2.0d as y", "cast(id as int) as label")
-    with pytest.raises(ValueError, match="cluster id"):
-        scoring.silhouette_scores(df, ["x", "y"], ["label"])
+@pytest.mark.parametrize("block", [1024, 3, 1])
+def test_silhouette_is_the_same_however_clusters_are_dealt(spark, labelled_rows, monkeypatch, block):
+    monkeypatch.setattr(scoring, "BLOCK", block)
+    rows = [(x, y, (i * 7) % 11 - 4) for i, (x, y, _) in enumerate([*labelled_rows, *labelled_rows[:9]])]
+    df = spark.createDataFrame(rows, "x double, y double, label int")
+    got = scoring.silhouette_scores(df, ["x", "y"], ["label"]).first()
+    assert got["silhouette"] == pytest.approx(brute_force_silhouette(rows), abs=1e-9)
+
+
+def test_best_k_without_scores_is_null(spark):
+    scores = spark.createDataFrame([(3, None), (4, None)], "k int, silhouette double")
+    assert tuple(scoring.best_k(scores).first()) == (None, None)
+
+
+def test_intermediates_are_removed(spark, planted):
+    shared = Path(shared_root(spark).removeprefix("file:"))
+    left = lambda: sorted(p for p in shared.rglob("points-*"))
+    before = left()
+    sweep(planted, [2, 3])
+    with pytest.raises(ValueError):
+        sweep(planted.limit(1), [2])
+    assert left() == before
+
+
+def test_fits_do_not_depend_on_the_number_of_partitions(planted):
+    costs = []
+    for share in (10**6, 7):
+        with prepare_points(planted, points_per_partition=share) as points:
+            costs.append(fit_models(points, [3])[3].summary.trainingCost)
+    assert costs[0] == pytest.approx(costs[1], rel=1e-6)
 
 
 def test_model_scores_agree_with_the_evaluator(domestic):
@@ -277,7 +304,8 @@ def test_model_scores_agree_with_the_evaluator(domestic):
 
 
 def test_partitions_follow_the_points():
-    assert [partitions_for(n) for n in (2, 50_000, 50_001, 2 * 10**7, 10**9)] == [1, 1, 2, 256, 5000]
+    assert [partitions_for(n) for n in (2, 160_000, 160_001, 10**9)] == [8, 8, 9, 50_000]
+    assert partitions_for(1000, 10) == 100
 
 
 def test_studies_cover_the_cluster_counts():

@@ -2,13 +2,16 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from blotter.operators import filters
+from blotter.operators.clustering import assign_nearest_center
 from blotter.plans import domestic_in_homes, street_by_day
 from blotter.operators.scoring import silhouette_scores
-from checks.fixture import csv_incidents, incident_table, lineitem_points, quantity_bucket
+from checks.fixture import csv_incidents, incident_table, lineitem_points
+from checks.registry import ORACLES, QUERIES
 
 
 def test_year_filter_reaches_the_csv_scan(spark, sf_dir, plan):
@@ -57,25 +60,40 @@ def test_preview_is_a_bounded_top_k(spark, sf_dir, plan):
 
 
 def test_no_python_workers_in_checked_queries(spark, sf_dir, plan):
-    for name in entry.oracle_sql():
-        text = plan(entry.queries()[name](spark, sf_dir))
+    for name in ORACLES:
+        text = plan(QUERIES[name](spark, sf_dir))
         assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text, name
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
-def test_scores_of_many_clusters_stay_within_compiled_code(spark, sf_dir):
-    """No method of the scoring pass may exceed what the JVM compiles."""
-    for ks in ([30], range(3, 10)):
-        points = lineitem_points(spark, sf_dir).withColumns(
-            {str(k): quantity_bucket(k) for k in ks}
-        )
-        df = silhouette_scores(points, ["l_quantity", "l_extendedprice"], [str(k) for k in ks])
-        df.collect()
-        debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
-        stages = getattr(debug, "MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
-        assert stages.size() > 0
-        for i in range(stages.size()):
-            assert stages.apply(i)._3().maxMethodCodeSize() < 8_000
+def largest_method(spark, df) -> int:
+    df.collect()
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    stages = getattr(debug, "MODULE$").codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    assert stages.size() > 0
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("ks", [[30], range(3, 10), [100], [300], [1000], [3000]])
+def test_scores_of_many_clusters_stay_within_compiled_code(spark, sf_dir, ks):
+    """No method of the scoring passes may exceed what the JVM compiles, for any k."""
+    points = lineitem_points(spark, sf_dir).withColumns(
+        {str(k): F.expr(f"cast(l_extendedprice * 7 as int) % {k}") for k in ks}
+    )
+    df = silhouette_scores(points, ["l_quantity", "l_extendedprice"], [str(k) for k in ks])
+    assert largest_method(spark, df) < 8_000
+    found = {r["labelling"]: r["clusters"] for r in df.collect()}
+    assert found == {str(k): points.select(str(k)).distinct().count() for k in ks}
+
+
+def test_assignment_does_not_grow_with_the_centers(spark, sf_dir):
+    points = lineitem_points(spark, sf_dir)
+    columns = ["l_quantity", "l_extendedprice"]
+    sizes = set()
+    for k in (5, 30, 300, 1000):
+        centers = [(i % 50, 100.0 * i) for i in range(k)]
+        sizes.add(largest_method(spark, assign_nearest_center(points, columns, centers)))
+    assert len(sizes) == 1 and max(sizes) < 8_000
 
 
 def test_null_year_is_dropped(spark):
