@@ -20,14 +20,19 @@ from blotter.sources import (
     stage_incidents,
 )
 
+# Some dates are missing or no dates; the rest is as the stamp says.
+_BAD_DATE = "case when event_id % 53 = 0 then 'not a date' when event_id % 59 = 0 then null"
+
+# Some years differ from the date's, two of five incidents are at one place and the others
+# at about 1,500, and nulls are in columns of every type.
 # Column name -> (expression over events, the expression for the SQL side where
 # it differs). ``stamp`` is the event time moved back over some 25 years.
 _FIELDS = {
     "ID": ("try_cast(event_id as int)", None),
     "Case Number": ("concat('HX', cast(event_id as string))", None),
     "Date": (
-        "date_format(stamp, 'MM/dd/yyyy hh:mm:ss a')",
-        "strftime(stamp, '%m/%d/%Y %I:%M:%S %p')",
+        f"{_BAD_DATE} else date_format(stamp, 'MM/dd/yyyy hh:mm:ss a') end",
+        f"{_BAD_DATE} else strftime(stamp, '%m/%d/%Y %I:%M:%S %p') end",
     ),
     "Block": (
         "concat(lpad(cast(event_id % 1000 as string), 3, '0'), 'XX W MAIN ST',"
@@ -40,15 +45,18 @@ _FIELDS = {
         None,
     ),
     "Primary Type": ("event_type", None),
-    "Description": ("concat(upper(event_type), ' REPORT')", None),
+    "Description": (
+        "case when event_id % 61 <> 0 then concat(upper(event_type), ' REPORT') end",
+        None,
+    ),
     "Location Description": (
         "case event_id % 4 when 0 then 'STREET' when 1 then 'APARTMENT'"
         " when 2 then 'RESIDENCE' else 'BAR, CLUB' end",
         None,
     ),
-    "Arrest": ("event_id % 3 = 0", None),
+    "Arrest": ("case when event_id % 67 <> 0 then event_id % 3 = 0 end", None),
     "Domestic": ("user_id % 2 = 0", None),
-    "Beat": ("cast(100 + event_id % 2400 as int)", None),
+    "Beat": ("case when event_id % 71 <> 0 then cast(100 + event_id % 2400 as int) end", None),
     "District": ("cast(1 + event_id % 25 as int)", None),
     "Ward": ("cast(1 + event_id % 50 as int)", None),
     "Community Area": ("cast(1 + event_id % 77 as int)", None),
@@ -59,7 +67,11 @@ _FIELDS = {
     ),
     "X Coordinate": ("cast(1100000 + event_id % 100000 as int)", None),
     "Y Coordinate": ("cast(1800000 + event_id % 150000 as int)", None),
-    "Year": ("cast(year(stamp) as int)", None),
+    "Year": (
+        "cast(year(stamp) + case when event_id % 19 = 0 then -1 when event_id % 23 = 0 then 1"
+        " else 0 end as int)",
+        None,
+    ),
     "Updated On": (
         "date_format(stamp, 'MM/dd/yyyy hh:mm:ss a')",
         "strftime(stamp, '%m/%d/%Y %I:%M:%S %p')",
@@ -67,14 +79,15 @@ _FIELDS = {
     "Latitude": (
         "round(case when event_id % 11 = 0 then null when event_id % 13 = 0"
         " then cast(36.6 as double) else cast(41.6 as double)"
-        " + cast(user_id % 40 as double) * cast(0.01 as double)"
-        " + value * cast(0.0001 as double) end, 6)",
+        " + cast(case when event_id % 5 < 2 then 7 else user_id % 40 end as double)"
+        " * cast(0.01 as double) end, 6)",
         None,
     ),
     "Longitude": (
         "round(case when event_id % 11 = 0 then null when event_id % 13 = 0"
         " then cast(-91.7 as double) else cast(-87.9 as double)"
-        " + cast(event_id % 37 as double) * cast(0.01 as double) end, 6)",
+        " + cast(case when event_id % 5 < 2 then 9 else event_id % 37 end as double)"
+        " * cast(0.01 as double) end, 6)",
         None,
     ),
     "Location": (
@@ -128,6 +141,29 @@ def lineitem_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
 
 
+# Three far-apart groups of very unequal size around given centers, every event in one.
+PLANTED = ((41.65, -87.85), (41.95, -87.45), (41.80, -87.60))
+_GROUP = "case when event_id % 20 < 13 then 0 when event_id % 20 < 19 then 1 else 2 end"
+_PLANTED = [
+    "event_id as ID",
+    f"{_GROUP} as planted",
+    *[
+        f"round(case {_GROUP} when 0 then cast({c[0][i]} as double) when 1 then"
+        f" cast({c[1][i]} as double) else cast({c[2][i]} as double) end"
+        f" + cast({spread} as double) * cast(0.001 as double), 6) as {name}"
+        for c, i, spread, name in (
+            (PLANTED, 0, "user_id % 7 - 3", "Latitude"),
+            (PLANTED, 1, "(event_id % 11) - 5", "Longitude"),
+        )
+    ],
+]
+PLANTED_SQL = f"planted_points as (select {', '.join(_PLANTED)} from events)"
+
+
+def planted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").selectExpr(*_PLANTED)
+
+
 def quantity_bucket(k: int):
     """A fixed labelling into k clusters: equal buckets of quantity."""
     return F.expr(f"cast(floor((l_quantity - 1) * {k} / 50) as int)")

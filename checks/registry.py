@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blotter.functions import (
@@ -35,12 +35,14 @@ from blotter.sources import fresh_folder, write_counts
 from checks.fixture import (
     INCIDENT_SQL,
     LINES_SQL,
+    PLANTED_SQL,
     TEXT_SQL,
     csv_incidents,
     csv_rejects,
     incident_table,
     incident_view,
     lineitem_points,
+    planted_points,
     quantity_bucket,
     raw_lines,
 )
@@ -547,7 +549,94 @@ def best_k(spark, sf_dir):
     return best.select("k", F.round("silhouette", 6).alias("silhouette"))
 
 
-# --- fitted models: no SQL counterpart, checked by invariants in the tests --------
+# --- fitted models on planted groups: SQL by group says what the fit must find ----
+
+# Clusters are numbered by their latitude, as fits number them at random.
+_BY_GROUP = f"""with {PLANTED_SQL},
+found as (select planted, cast(row_number() over (order by avg("Latitude")) - 1 as integer) as cluster,
+  avg("Latitude") as lat, avg("Longitude") as lon, count(*) as size from planted_points group by planted)"""
+
+
+def _numbered(centers: DataFrame) -> DataFrame:
+    """Fitted clusters with their number in order of latitude."""
+    order = Window.orderBy("Latitude")
+    return centers.withColumn("number", F.row_number().over(order) - 1)
+
+
+@query(
+    f'{_BY_GROUP} select cluster, round(lat, 6) as "Latitude", round(lon, 6) as "Longitude",'
+    " size from found"
+)
+def planted_kmeans_fit(spark, sf_dir):
+    with prepare_points(planted_points(spark, sf_dir)) as points:
+        centers = clustering.kmeans_centers(fit_models(points, [3])[3], points.frame, points.scale)
+    return _numbered(centers).select(
+        F.col("number").alias("cluster"), *[F.round(c, 6).alias(c) for c in COORDINATES], "size"
+    )
+
+
+def _assigned(assigned: DataFrame, *selected: str) -> DataFrame:
+    """Assignments by number; a cluster's order is that of its mean latitude."""
+    means = assigned.groupBy("prediction").agg(F.avg("Latitude").alias("Latitude"))
+    numbers = _numbered(means).select("prediction", "number")
+    return assigned.join(numbers, "prediction").select(
+        *selected, F.col("number").alias("prediction")
+    )
+
+
+_EVERY_POINT = f"{_BY_GROUP} select {{}}, cluster as prediction from planted_points join found using (planted)"
+
+
+@query(_EVERY_POINT.format('"ID"'))
+def planted_kmeans_predict(spark, sf_dir):
+    return _assigned(assign_kmeans(planted_points(spark, sf_dir), 3), "ID")
+
+
+@query(_EVERY_POINT.format('"Longitude", "Latitude"'))
+def planted_cluster_map(spark, sf_dir):
+    mapped = cluster_map(assign_kmeans(planted_points(spark, sf_dir), 3))
+    return _assigned(mapped, "Longitude", "Latitude")
+
+
+@query(_EVERY_POINT.format('"ID"'))
+def planted_gmm_predict(spark, sf_dir):
+    return _assigned(assign_gmm(planted_points(spark, sf_dir), 3), "ID")
+
+
+@query(
+    f"{_BY_GROUP} select cluster, round(size / sum(size) over (), 4) as mixing_weight,"
+    ' round(lat, 4) as "Latitude", round(lon, 4) as "Longitude" from found'
+)
+def planted_gmm_fit(spark, sf_dir):
+    with prepare_points(planted_points(spark, sf_dir)) as points:
+        model = fit_models(points, [3], "gmm")[3]
+    found = _numbered(clustering.gmm_components(spark, model, points.scale))
+    return found.select(
+        F.col("number").alias("cluster"),
+        *[F.round(c, 4).alias(c) for c in ("mixing_weight", *COORDINATES)],
+    )
+
+
+_PLANTED_SCORE = f"""with {PLANTED_SQL},
+scaled as (select planted as label, "Latitude" / stddev_samp("Latitude") over () as x,
+  "Longitude" / stddev_samp("Longitude") over () as y from planted_points),
+middle as (select label, x - avg(x) over () as x, y - avg(y) over () as y, row_number() over () as rid from scaled),
+sums as (select label, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x * x + y * y) as sq from middle group by 1),
+paired as (select p.rid, p.label, s.label as other, s.n,
+  p.x * p.x + p.y * p.y + s.sq / s.n - 2 * (p.x * s.sx + p.y * s.sy) / s.n as d from middle p, sums s),
+ab as (select rid, max(case when other = label then d * n / (n - 1) end) as a,
+  min(case when other <> label then d end) as b from paired group by rid)
+select 3 as k, round(avg((b - a) / greatest(a, b)), 6) as silhouette from ab"""
+
+
+@query(_PLANTED_SCORE)
+def planted_best_k(spark, sf_dir):
+    scores = sweep(planted_points(spark, sf_dir), [2, 3, 4, 5])
+    best = scoring.best_k(scores)
+    return best.select("k", F.round("silhouette", 6).alias("silhouette"))
+
+
+# --- fitted models on the studies: checked by invariants in the tests -------------
 
 
 @query()
