@@ -206,6 +206,17 @@ def incident_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged(spark, path)
 
 
+def incident_table_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a folder for each Year, of which a year filter leaves only some."""
+    path = _stage_once(
+        spark,
+        sf_dir,
+        "by-year",
+        lambda path: stage_incidents(incident_view(spark, sf_dir), path, by_year=True),
+    )
+    return read_staged(spark, path)
+
+
 def csv_incidents(spark: SparkSession, sf_dir: str, codes_as_int: bool = True) -> DataFrame:
     """The events as incident CSV files, read back typed."""
     return read_incidents(spark, _csv_path(spark, sf_dir), codes_as_int)

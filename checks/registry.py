@@ -40,6 +40,7 @@ from checks.fixture import (
     csv_incidents,
     csv_rejects,
     incident_table,
+    incident_table_by_year,
     incident_view,
     lineitem_points,
     planted_points,
@@ -264,6 +265,11 @@ def incidents_domestic(spark, sf_dir):
     return domestic_in_homes(incident_table(spark, sf_dir))
 
 
+@query(_study_sql(_DOMESTIC))
+def incidents_domestic_by_year(spark, sf_dir):
+    return domestic_in_homes(incident_table_by_year(spark, sf_dir))
+
+
 @query(_study_sql(f"{_STREET} and {_BOX} and {_NIGHT}"))
 def incidents_street_night(spark, sf_dir):
     return street_at_night(incident_table(spark, sf_dir))

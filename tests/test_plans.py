@@ -42,6 +42,12 @@ def test_study_is_one_filter_with_every_test_in_the_scan(spark, sf_dir, plan):
         assert pushed in text
 
 
+def test_year_folders_are_pruned(spark, sf_dir, plan):
+    text = plan(QUERIES["incidents_domestic_by_year"](spark, sf_dir))
+    filters_ = re.search(r"PartitionFilters: (.*)", text).group(1)
+    assert "> 2000" in filters_ and "= 2021" in filters_
+
+
 def test_dates_are_parsed_last(spark, sf_dir, plan):
     text = plan(street_by_day(incident_table(spark, sf_dir)))
     condition = re.search(r"Condition : (.*)", text).group(1)
