@@ -85,7 +85,7 @@ def repeated_spans(
     around = texts.join(shared, "doc_id").select("doc_id", "tag", words.alias("words"), "anchors")
     judged = staged(
         around.mapInArrow(
-            extended, "anchor long, doc_id long, tag long, start int, windows array<long>"
+            extended, "anchor long, doc_id long, tag long, starts array<int>, windows array<long>"
         )
         .repartition("anchor")
         .sortWithinPartitions("anchor", "doc_id")
@@ -179,13 +179,25 @@ def _joined(parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _contexts(doc_id, tag, words, live, length: int, seed: int) -> pa.RecordBatch:
-    """A row for each place of a shared anchor: the hashes of the windows it belongs to."""
+    """A row for each context of a shared anchor: where it starts, and its windows' hashes.
+
+    A line that a document repeats is one row with many starts. First and last window
+    overlap or touch, so these two and their number tell a context from others.
+    """
     place, anchor = anchors(words, length, seed)
     windows = rolling(words, length).view(np.int64) if len(place) else place
     firsts = np.flatnonzero(np.diff(place, prepend=-1))
     ends = np.append(firsts[1:], len(place)).astype(np.int64)
     wanted = np.isin(anchor[firsts], live)
     firsts, ends = firsts[wanted], ends[wanted]
+    told = np.stack([windows[firsts], windows[ends - 1], ends - firsts])
+    order = np.lexsort((firsts, *told))
+    fresh = np.append(True, (told[:, order[1:]] != told[:, order[:-1]]).any(axis=0))[: len(order)]
+    starts = pa.ListArray.from_arrays(
+        pa.array(np.append(np.flatnonzero(fresh), len(order)).astype(np.int32)),
+        pa.array(firsts[order].astype(np.int32)),
+    )
+    firsts, ends = firsts[order[fresh]], ends[order[fresh]]
     sizes = ends - firsts
     picked = np.repeat(firsts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
     lists = pa.ListArray.from_arrays(
@@ -197,10 +209,10 @@ def _contexts(doc_id, tag, words, live, length: int, seed: int) -> pa.RecordBatc
             pa.array(anchor[firsts]),
             pa.array(np.full(n, doc_id)),
             pa.array(np.full(n, tag)),
-            pa.array(firsts.astype(np.int32)),
+            starts,
             lists,
         ],
-        names=["anchor", "doc_id", "tag", "start", "windows"],
+        names=["anchor", "doc_id", "tag", "starts", "windows"],
     )
 
 
@@ -214,7 +226,7 @@ def _judge(batches: Iterator[pa.RecordBatch], contexts: int) -> Iterator[pa.Reco
     for batch in batches:
         out: list[tuple] = []
         columns = [batch.column(i).to_pylist() for i in range(5)]
-        for anchor, doc_id, tag, start, windows in zip(*columns):
+        for anchor, doc_id, tag, starts, windows in zip(*columns):
             if anchor != current:
                 current, seen, over = anchor, {}, False
             if not over and len(seen) > contexts:
@@ -222,17 +234,19 @@ def _judge(batches: Iterator[pa.RecordBatch], contexts: int) -> Iterator[pa.Reco
                 out += [(h, d, 0, -1, -1) for h, d in seen.items()]
                 seen = {}
             if over:
-                out += [(h, doc_id, tag, start + i, start + i + 1) for i, h in enumerate(windows)]
+                out += [
+                    (h, doc_id, tag, start + i, start + i + 1)
+                    for start in starts
+                    for i, h in enumerate(windows)
+                ]
                 continue
             run = None
-            for i, h in enumerate(windows, start):
-                if seen.setdefault(h, doc_id) < doc_id:
+            for i, repeated in enumerate([*(seen.setdefault(h, doc_id) < doc_id for h in windows), False]):
+                if repeated:
                     run = i if run is None else run
                 elif run is not None:
-                    out.append((None, doc_id, tag, run, i))
+                    out += [(None, doc_id, tag, start + run, start + i) for start in starts]
                     run = None
-            if run is not None:
-                out.append((None, doc_id, tag, run, start + len(windows)))
         names = ("hash", "doc_id", "tag", "start", "end")
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         columns = list(zip(*out)) or [()] * 5
