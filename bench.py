@@ -2,7 +2,7 @@
 
 ``BENCH_SF_DIR`` names the tables, ``BENCH_CPUS`` the local cores. All queries
 run once to warm up and then three times each; the median counts. Further queries
-run once after their warm-up and are not in the total. The total also
+run once, cold, and are not in the total. The total also
 leaves out ``kmeans_k_sweep_uncached``, which runs once: it is the same sweep
 done the plain way for comparison, row by row, nothing held in memory, one model
 after another.
@@ -132,7 +132,7 @@ def main() -> None:
         "stage_incidents": lambda: stage_and_remove(spark, incident_view(spark, sf_dir)),
         "kmeans_fit_k30_all_lineitem_points": lambda: fit(spread(lineitem_points(spark, sf_dir), 1), 30, "kmeans"),
     }
-    for run in [*headline.values(), *more.values()]:
+    for run in headline.values():
         run()
 
     def medians(queries, runs):
