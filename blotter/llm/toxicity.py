@@ -1,7 +1,8 @@
 """Score texts for toxicity with a small recurrent network, trained in numpy.
 
 Words are read as they are cut at white space, in lower case, without punctuation around
-them. Each word is two inputs: a word vector and the mean of its hashed character trigram
+them. A run of more than ``LONGEST`` characters, as in scripts without spaces, is read in pieces
+of that length that overlap by half and cover it; each piece counts as a word. Each word is two inputs: a word vector and the mean of its hashed character trigram
 vectors. A bidirectional gated recurrent network reads a window of words, attention pools
 its states, and a logistic unit gives the window's score. Windows overlap by half and cover
 the whole text; a text's score follows from its worst window.
@@ -20,8 +21,7 @@ labels. Seeds are fixed, so a fit repeats.
 Scoring is one pass without a shuffle. The model is a few megabytes whatever the data.
 
 Defined cases: null and empty texts have one empty window, whose score the network gives too.
-Of words longer than ``LONGEST`` characters the character input takes the first ones. Repeated
-rows get equal scores. Labels that are null or have no document are not used; without a
+Repeated rows get equal scores. Labels that are null or have no document are not used; without a
 single label of either class every score is 0. An empty table gives an empty result. Other
 columns than identifier, text and label are never read.
 """
@@ -72,7 +72,7 @@ def windows_of(count: int) -> np.ndarray:
 
 def trigram_bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of the trigrams of all words in a row, and how many each word has."""
-    marked = [f"<{word[:LONGEST]}>" for word in words]
+    marked = [f"<{word}>" for word in words]
     lengths = np.fromiter(map(len, marked), dtype=np.int64, count=len(marked))
     codes = np.frombuffer(
         "".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32
@@ -341,8 +341,26 @@ class Reader:
 
 
 def clean_words(text: str | None) -> list[str]:
-    """Words without the punctuation around them; what is only punctuation goes."""
-    return [w for w in (word.strip(_EDGE) for word in (text or "").lower().split()) if w]
+    """Words without the punctuation around them; what is only punctuation goes. Long runs come
+    in pieces."""
+    words = (word.strip(_EDGE) for word in (text or "").lower().split())
+    return [piece for word in words if word for piece in pieces_of(word)]
+
+
+def pieces_of(run: str) -> list[str]:
+    """The run itself, or pieces of ``LONGEST`` characters; the last ends with the run."""
+    last = len(run) - LONGEST
+    if last <= 0:
+        return [run]
+    return [run[at : at + LONGEST] for at in (*range(0, last, LONGEST // 2), last)]
+
+
+def _pieces_of(run: Column) -> Column:
+    """The same as an expression."""
+    last = F.length(run) - LONGEST
+    numbers = F.sequence(F.lit(0), F.ceil(last / F.lit(LONGEST // 2)).cast("int"))
+    piece = lambda n: F.substring(run, F.least(n * (LONGEST // 2), last) + 1, F.lit(LONGEST))
+    return F.when(last <= 0, F.array(run)).otherwise(F.transform(numbers, piece))
 
 
 _EDGES = r"^[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+$"
@@ -373,9 +391,8 @@ def _kept_out() -> Column:
 
 def _log_odds(learn: DataFrame, sizes: dict[int, int]) -> dict[str, float]:
     """The vocabulary, each word with its log-odds where they are significant, else 0."""
-    cleaned = F.array_distinct(
-        F.transform(word_array(F.lower("text")), lambda w: F.regexp_replace(w, _EDGES, ""))
-    )
+    stripped = F.transform(word_array(F.lower("text")), lambda w: F.regexp_replace(w, _EDGES, ""))
+    cleaned = F.array_distinct(F.flatten(F.transform(stripped, _pieces_of)))
     counted = (
         learn.select("toxic", F.explode(cleaned).alias("word"))
         .groupBy("word")

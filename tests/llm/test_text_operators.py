@@ -246,6 +246,32 @@ def test_planted_toxicity_is_learnt(spark):
     assert toxicity.score(odd.limit(0), network).count() == 0
 
 
+def test_long_runs_are_read_whole(spark):
+    for n in (1, 40, 41, 60, 61, 80, 81, 999):
+        run = "".join(chr(0x4E00 + i) for i in range(n))
+        pieces = toxicity.pieces_of(run)
+        assert all(len(p) <= toxicity.LONGEST for p in pieces)
+        assert all(any(run[i : i + 20] in p for p in pieces) for i in range(n))
+        row = spark.createDataFrame([(run,)], "run string").select(toxicity._pieces_of(F.col("run")))
+        assert row.first()[0] == pieces
+
+
+def test_every_part_of_a_text_without_spaces_counts():
+    net = toxicity.fresh_network(np.random.default_rng(1), {"the": 1.0})
+    reader = toxicity.Reader(net)
+    run = "".join(chr(0x4E00 + i % 300) for i in range(3000))
+    for text in (run, "_".join(["word"] * 500), "\u200b".join(["word"] * 500)):
+        places = range(0, len(text), 97)
+        planted = [f"{text[:at]}vilenasty{text[at:]}" for at in places]
+        vectors = [net.word_vectors(toxicity.clean_words(x)) for x in (text, *planted)]
+        assert all(v.shape != vectors[0].shape or (v != vectors[0]).any() for v in vectors[1:])
+        for x in planted:
+            assert any("vilenasty" in piece for piece in toxicity.clean_words(x))
+    short = "word_" * 12
+    planted = [f"{short[:at]}vilenasty{short[at:]}" for at in range(41, len(short), 5)]
+    assert all(abs(score - reader.scores([short])[0]) > 1e-7 for score in reader.scores(planted))
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], DOCS)
     for rows in ([], [(1, 0)], [(9, 1), (None, 0), (1, None)]):
