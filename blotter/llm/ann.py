@@ -1,19 +1,20 @@
 """Nearest neighbours by collision counting over single-projection sorted arrays.
 
-Each vector is projected on ``PROJECTIONS`` random directions (orthonormal in sets), and each
-direction keeps its projections sorted. A query is projected too and looks, in every array, at a
+Each vector is projected on random directions (orthonormal in sets; half as many again as the
+dimension, at least ``PROJECTIONS``), and each direction keeps its projections sorted. A query is projected too and looks, in every array, at a
 window centred on itself. A vector in the window collides with the query in that direction. Windows
 widen by the same factor everywhere (virtual rehashing: nothing is hashed again, windows only
-grow at their ends and only what is new is counted) until enough vectors have collided in at least
-``THRESHOLD`` of all directions. Those, and no others, are verified by their exact distance.
+grow at their ends and only what is new is counted). Vectors that have collided in at least
+``THRESHOLD`` of all directions, and no others, are verified by their exact distance. A query stops
+when ``SHARE`` of the block is verified and the windows are so wide that any vector as near as the
+``k``-th best has collided often enough with probability ``CERTAIN``, or when windows hold the block.
 
 The index is dealt by the hash of identifiers into blocks whose arrays fit a task; a query set is
 dealt into blocks too, and each pair of blocks is one task. Every block verifies its own share,
 so a query's best are among the best of all blocks; these few rows are ranked per query.
 
-Directions depend on the dimension and a seed alone, so nothing is fitted on data. On 51,000
-vectors that are close to uniform on the sphere, the hardest case, recall of the ten
-nearest is above 0.95 (see the README), with about a tenth of the vectors verified.
+Directions depend on the dimension and a seed alone, so nothing is fitted on data; how many vectors are
+verified follows from the data. The README states recall and that share for several dimensions.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or a non-finite component take no
 part, nor do vectors without identifier. Vectors are compared with those of their own dimension
@@ -25,6 +26,7 @@ never read.
 from __future__ import annotations
 
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,12 @@ from pyspark.sql import functions as F
 
 from blotter.llm.common import staged
 
-PROJECTIONS, THRESHOLD, SEED = 96, 0.85, 20
-# Share of a block that must have collided often enough before a query stops there, and the
+PROJECTIONS, PER_DIMENSION, THRESHOLD, SEED = 96, 1.5, 0.85, 20
+# Share of a block that must have collided often enough before a query may stop there, and the
 # growth of windows from round to round, in standard deviations of the block's projections.
 SHARE, FIRST, GROWTH = 0.05, 1.0, 1.05
+# Probability that a vector at the k-th best distance is verified before a query stops.
+CERTAIN = 0.99
 VECTORS, QUERIES = 16_384, 1_024
 
 _FOUND = "query_id long, vec_id long, score double"
@@ -132,6 +136,9 @@ class SortedProjections:
         counts = np.zeros(n, dtype=np.int16)
         least = int(np.ceil(THRESHOLD * m))
         wanted = min(n, k + 1 + int(np.ceil(SHARE * n)))
+        bound = reach_of_unit_distance(self.points.shape[1], m)
+        verified, distances = np.zeros(n, dtype=bool), np.zeros(n)
+        best = np.full(k, np.inf)
         lows = [int(np.searchsorted(row, c)) for row, c in zip(self.sorted, centre)]
         highs = list(lows)
         reach = FIRST * self.unit
@@ -146,24 +153,42 @@ class SortedProjections:
                 if high > highs[j]:
                     counts[owner[highs[j] : high]] += 1
                     highs[j] = high
-            near = np.flatnonzero(counts >= least)
-            if len(near) >= wanted or all(h - w == n for h, w in zip(highs, lows)):
+            new = np.flatnonzero((counts >= least) & ~verified)
+            verified[new] = True
+            difference = self.points[new] - place
+            distances[new] = np.sqrt((difference * difference).sum(axis=1))
+            best = np.sort(np.concatenate([best, distances[new if own is None else new[new != own]]]))[:k]
+            enough = verified.sum() >= wanted and best[-1] * bound <= reach
+            if enough or all(h - w == n for h, w in zip(highs, lows)):
                 break
             reach *= GROWTH
+        near = np.flatnonzero(verified)
         if own is not None:
             near = near[near != own]
-        difference = self.points[near] - place
-        return near, np.sqrt((difference * difference).sum(axis=1))
+        return near, distances[near]
+
+
+def reach_of_unit_distance(dimension: int, projections: int) -> float:
+    """The window in which a vector at distance 1 collides often enough with probability ``CERTAIN``.
+
+    Its distance along a random direction is close to normal with variance 1 / dimension. The chance
+    of one collision must be so far above ``THRESHOLD`` that the count of all hardly falls below it.
+    """
+    z = NormalDist().inv_cdf(CERTAIN)
+    t, spare = THRESHOLD, z * z / projections
+    chance = (t + spare / 2 + (spare * (t * (1 - t) + spare / 4)) ** 0.5) / (1 + spare)
+    return NormalDist().inv_cdf((1 + chance) / 2) / dimension**0.5
 
 
 @lru_cache(maxsize=8)
 def directions(dimension: int) -> np.ndarray:
     """Random unit directions, a column each; as many as fit are orthogonal to one another."""
     rng = np.random.default_rng([SEED, dimension])
+    count = max(PROJECTIONS, int(np.ceil(PER_DIMENSION * dimension)))
     sets = []
-    while sum(s.shape[1] for s in sets) < PROJECTIONS:
+    while sum(s.shape[1] for s in sets) < count:
         sets.append(np.linalg.qr(rng.standard_normal((dimension, dimension)))[0])
-    return np.concatenate(sets, axis=1)[:, :PROJECTIONS]
+    return np.concatenate(sets, axis=1)[:, :count]
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -48,6 +48,22 @@ def test_recall_on_the_given_table(spark, sf_dir):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize(("dimension", "norm"), [(64, 1.0), (64, 0.05), (128, 1.0), (384, 1.0)])
+def test_recall_whatever_the_dimension_and_norms(dimension, norm):
+    rng = np.random.default_rng(6)
+    points = rng.standard_normal((6000, dimension))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    points[::3] *= norm
+    index, hits, queries = ann.SortedProjections(points), 0, range(1, 6000, 300)
+    for q in queries:
+        near, distance = index.search(points[q], 10, q)
+        exact = np.linalg.norm(points - points[q], axis=1)
+        assert np.allclose(distance, exact[near]) and q not in near
+        exact[q] = np.inf
+        hits += len(set(np.argsort(exact)[:10]) & set(near[np.argsort(distance)[:10]]))
+    assert hits >= 0.95 * 10 * len(queries)
+
+
 def test_search_edge_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [
