@@ -10,8 +10,9 @@ smallest on until the source's remaining words are filled. That is a sample of
 fixed size, and because the ranking is the same each time, reruns agree.
 
 The fill needs a running sum over each source. A source may hold a third of all rows, so
-the running sum is taken in two steps: over bins of the rank, whose sums are small, and
-within bins. No task holds a source.
+the running sum is taken in two steps: over bins, whose sums are small, and within bins. Within a
+source the rank grows with u, so bins are equal parts of u, even whatever p is. No task holds a
+source.
 
 Everything is DataFrame expressions: no Python runs on executors.
 
@@ -33,7 +34,7 @@ from blotter.llm.common import word_count
 
 SEED = 20
 MAX_REPEATS = 3
-# Bins of the rank within a source, and parts into which a source's rows are dealt for the
+# Bins within a source, and parts into which a source's rows are dealt for the
 # join with its target. Both only spread work.
 BINS = 4096
 SALTS = 64
@@ -103,25 +104,7 @@ def mix(
     salts: int = SALTS,
 ) -> DataFrame:
     """``(doc_id, tag, source, size, source_size, target, copies, taken)`` for every row."""
-    dealt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int")
-    targets = source_targets(sized, weights, max_repeats).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    rated = (
-        sized.withColumn("salt", dealt)
-        .alias("d")
-        .join(
-            targets.alias("t"),
-            F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.salt") == F.col("t.salt")),
-        )
-        .select("d.doc_id", "d.tag", "d.source", "d.size", "t.source_size", "t.target")
-        .withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-        .withColumn("certain", F.floor("rate"))
-        .withColumn("p", F.col("rate") - F.col("certain"))
-        .withColumn("rank", pareto_rank(F.col("doc_id"), F.col("p"), seed))
-        .withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * bins))
-        .withColumn("room", F.col("target") - F.col("certain") * F.col("source_size"))
-    )
+    rated = rated_rows(sized, weights, max_repeats, seed, bins, salts)
     filled = rated.groupBy("source", "bin").agg(F.sum("size").alias("words"))
     earlier = F.sum("words").over(
         Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -156,6 +139,31 @@ def mix(
     )
 
 
+def rated_rows(
+    sized: DataFrame, weights: Sequence[float], max_repeats: int, seed: int, bins: int, salts: int
+) -> DataFrame:
+    """Every row with its source's target, certain copies and room, its rank and its bin."""
+    dealt = F.pmod(F.xxhash64("doc_id", "size"), F.lit(salts)).cast("int")
+    targets = source_targets(sized, weights, max_repeats).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    )
+    return (
+        sized.withColumn("salt", dealt)
+        .alias("d")
+        .join(
+            targets.alias("t"),
+            F.col("d.source").eqNullSafe(F.col("t.source")) & (F.col("d.salt") == F.col("t.salt")),
+        )
+        .select("d.doc_id", "d.tag", "d.source", "d.size", "t.source_size", "t.target")
+        .withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+        .withColumn("certain", F.floor("rate"))
+        .withColumn("p", F.col("rate") - F.col("certain"))
+        .withColumn("rank", pareto_rank(F.col("doc_id"), F.col("p"), seed))
+        .withColumn("bin", F.floor(random_number(F.col("doc_id"), seed) * bins))
+        .withColumn("room", F.col("target") - F.col("certain") * F.col("source_size"))
+    )
+
+
 def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The documents that are in the mix, with all their columns, ``copies`` and ``taken``.
 
@@ -173,7 +181,12 @@ def mixed_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
 def pareto_rank(identifier: Column, p: Column, seed: int) -> Column:
     """Random odds over inclusion odds; null where nothing is left to chance."""
+    u = random_number(identifier, seed)
+    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+
+
+def random_number(identifier: Column, seed: int) -> Column:
+    """The identifier's fixed number between 0 and 1."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), identifier.cast("string")))
     bits = F.conv(F.substring(digest, 1, _RANDOM_BITS // 4), 16, 10).cast("double")
-    u = (bits + 0.5) / float(2**_RANDOM_BITS)
-    return F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))
+    return (bits + 0.5) / float(2**_RANDOM_BITS)

@@ -127,6 +127,16 @@ def test_mix_is_near_its_targets_and_repeats(spark):
     assert {r["copies"] for r in first if r["source"] == "s2"} == {0, 1}
 
 
+def test_bins_are_even_when_a_target_is_near_a_multiple(spark):
+    sized = spark.range(8000).selectExpr("id AS doc_id", "id AS tag", "concat('s', id % 2) AS source", "10L AS size")
+    for weights in ((1.0001, 0.9999), (1, 1)):
+        rated = mixing.rated_rows(sized, weights, 3, mixing.SEED, 16, 8)
+        counts = [r["count"] for r in rated.groupBy("source", "bin").count().collect()]
+        assert len(counts) == 32 and max(counts) < 2 * 4000 / 16
+        ranks = [(r["bin"], r["rank"]) for r in rated.filter("source = 's0' AND p > 0").collect()]
+        assert [b for _, b in sorted(ranks)] == sorted(b for _, b in ranks)
+
+
 def test_mix_edge_rows(spark, plan, sf_dir):
     rows = [(1, None, None), (2, "", "a"), (None, "x y", "a"), (None, "x y", "a"), (3, "x " * 9, None), (3, "z", "é")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, taken int")
