@@ -138,7 +138,7 @@ _MESSY = (
     "case when ID % 97 = 0 then 'bad date' when ID % 89 = 0 then null"
     " when ID % 83 = 0 then '7/4/2010 6:59:00 AM'"
     " when ID % 79 = 0 then '13/31/2010 11:05:00 PM'"
-    " when ID % 73 = 0 then concat(substring(Date, 1, 10), ' noon') else Date end"
+    " when ID % 73 = 0 then substring(Date, 1, 10) || ' noon' else Date end"
 )
 _MESSY_SQL = with_incidents(f', messy as (select "ID", {_MESSY} as "Date" from incidents)')
 _DAY_SQL = (

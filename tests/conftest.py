@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 SF_DIR = "/root/testdata/sf0.001"
+LARGER_DIR = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
@@ -32,6 +33,11 @@ def sf_dir():
     return SF_DIR
 
 
+@pytest.fixture(scope="session")
+def larger_dir():
+    return LARGER_DIR
+
+
 @pytest.fixture
 def in_zone(spark):
     """Run part of a test in another session time zone."""

@@ -8,6 +8,7 @@ from blotter.operators.columns import with_calendar
 from blotter.operators.features import collapse_points
 from blotter.plans import domestic_in_homes
 from checks.fixture import incident_table, incident_view
+from checks.registry import ORACLES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings"
@@ -23,14 +24,23 @@ TYPES = {
 }
 
 
-@pytest.fixture(scope="module")
-def duck(sf_dir):
+def tables_of(folder):
     con = duckdb.connect()
     for name in TABLES:
-        con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
     return con
 
 
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    return tables_of(sf_dir)
+
+
+@pytest.fixture(scope="module")
+def larger_duck(larger_dir):
+    return tables_of(larger_dir)
+
+
 def by_name(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted(tuple(str(row[i]) for i in order) for row in rows)
@@ -38,6 +48,16 @@ def by_name(columns, rows):
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_same_as_sql(spark, duck, sf_dir, name):
+    same_as_sql(spark, duck, sf_dir, name)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_same_as_sql_on_more_rows(spark, larger_duck, larger_dir, name):
+    """Faults of the fixture meet one another only where there are rows enough."""
+    same_as_sql(spark, larger_duck, larger_dir, name)
+
+
+def same_as_sql(spark, duck, sf_dir, name):
     got = entry.queries()[name](spark, sf_dir)
     result = duck.execute(entry.oracle_sql()[name])
     want_columns = [c[0] for c in result.description]
