@@ -11,6 +11,7 @@ from blotter.llm import (
     ann,
     chat_format,
     decontaminate,
+    line_dedup,
     mixing,
     pii,
     simhash,
@@ -248,3 +249,24 @@ def _chat_digest(formatted: DataFrame) -> DataFrame:
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.col("formatted_chars"),
     )
+
+
+@query(
+    "op11_line_dedup",
+    """
+    WITH lines AS (
+        SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i
+        FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+    keyed AS (
+        SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM lines),
+    gone AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT r) >= 10),
+    marked AS (SELECT keyed.*, gone.key IS NOT NULL AS dropped FROM keyed LEFT JOIN gone ON keyed.key = gone.key)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+    FROM marked GROUP BY r
+    """,
+)
+def op11(spark, sf_dir):
+    return line_dedup.remove_lines(read_table(spark, sf_dir, "documents")).drop("kept")
