@@ -152,14 +152,15 @@ def _broadcast(spark: SparkSession, table: np.ndarray):
     return spark.sparkContext.broadcast(table)
 
 
-def bitmap_of(keys: DataFrame, column: str, count: int, most_bits: int = MOST_BITS) -> Bitmap:
-    """The bitmap of a column of 64-bit hashes."""
+def bitmap_of(keys: DataFrame, count: int, hashed=None, most_bits: int = MOST_BITS) -> Bitmap:
+    """The bitmap of rows of longs: of their only column, or of what ``hashed`` makes of the columns."""
     words = words_for(count, most_bits)
+    hashed = hashed or (lambda columns: columns[0])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Gathered(words)
         for batch in batches:
-            yield from seen.add(batch.column(0).to_numpy())
+            yield from seen.add(hashed([column.to_numpy() for column in batch.columns]))
         yield from seen.rows()
 
-    return Bitmap(merged(keys.select(column).mapInArrow(gather, ADDRESSES), words), "once", words)
+    return Bitmap(merged(keys.mapInArrow(gather, ADDRESSES), words), "once", words)

@@ -16,13 +16,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+def staged(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """Write once to the folder all executors share, and read from there.
 
     Later jobs and retries after a lost executor start from the files.
     """
     folder = fresh_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

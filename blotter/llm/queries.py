@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blotter.llm import (
     ann,
     chat_format,
+    collocations,
     decontaminate,
     line_dedup,
     mixing,
@@ -270,3 +271,42 @@ def _chat_digest(formatted: DataFrame) -> DataFrame:
 )
 def op11(spark, sf_dir):
     return line_dedup.remove_lines(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query(
+    "op13_collocations",
+    f"""
+    WITH texts AS (
+        SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+            translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}') AS t FROM documents),
+    pieces AS (
+        SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+        FROM (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM texts)),
+    grams AS (
+        SELECT lang, w[i:i + m - 1] AS g
+        FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces), range(1, {collocations.LONGEST + 1}) t(m)
+        WHERE i + m - 1 <= len(w)),
+    counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g),
+    totals AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE len(g) = 1 GROUP BY lang),
+    candidates AS (SELECT lang, g, f AS a FROM counts WHERE len(g) > 1 AND f >= {collocations.LEAST}),
+    cuts AS (
+        SELECT c.lang, c.g, c.a, k, x.f AS l, y.f AS r, ({collocations.SCALE}::HUGEINT * c.a) // (x.f + y.f) AS score
+        FROM (SELECT *, unnest(range(1, len(g))) AS k FROM candidates) c
+        JOIN counts x ON x.lang = c.lang AND x.g = c.g[:k] JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+    scored AS (
+        SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    parts AS (
+        SELECT lang, g[s:s + m - 1] AS g, max(a) AS longer
+        FROM (SELECT lang, g, a, s, unnest(range(2, len(g))) AS m FROM (SELECT *, unnest(range(1, len(g))) AS s FROM candidates))
+        WHERE s + m - 1 <= len(g) GROUP BY 1, 2),
+    kept AS (
+        SELECT scored.* FROM scored LEFT JOIN parts ON parts.lang = scored.lang AND parts.g = scored.g
+        WHERE coalesce(100 * longer::HUGEINT, 0) < {collocations.INSIDE} * a::HUGEINT),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+    SELECT lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score::BIGINT AS score
+    FROM ranked JOIN totals USING (lang) WHERE rank <= {collocations.TOP}
+    """,
+)
+def op13(spark, sf_dir):
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))

@@ -94,7 +94,7 @@ def test_line_edge_rows(spark, held):
 
 def test_bitmaps_forget_nothing_and_tell_second_sights(spark):
     hashes = spark.range(20_000).select(F.xxhash64("id").alias("h"))
-    some = bits.bitmap_of(hashes.filter("h % 3 = 0"), "h", 7000)
+    some = bits.bitmap_of(hashes.filter("h % 3 = 0"), 7000)
     every = np.array([r["h"] for r in hashes.collect()])
     inside = every[every % 3 == 0]  # of either sign: numpy's remainder is zero where Spark's is
     assert some.has(inside).all()
