@@ -16,6 +16,7 @@ from blotter.llm import (
     mixing,
     pii,
     simhash,
+    spelling,
     substring_dedup,
     token_counts,
     toxicity,
@@ -273,6 +274,55 @@ def op11(spark, sf_dir):
     return line_dedup.remove_lines(read_table(spark, sf_dir, "documents")).drop("kept")
 
 
+@query(
+    "op12_spelling_variants",
+    f"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list(c ORDER BY i) AS tb FROM (
+            SELECT i, list_reduce([i::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+            FROM range(256) t(i))),
+    runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_LETTERS}', '{_LETTERS.lower()}'), '[A-Za-zÀ-ÿ]+')) AS run
+        FROM documents),
+    per_document AS (SELECT doc_id, run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS x FROM runs GROUP BY ALL),
+    hashed AS (
+        SELECT run, n, xor(4294967295::UBIGINT, list_reduce(
+            list_prepend(4294967295::UBIGINT, list_transform(range(1, length(x), 2), lambda p: ('0x' || substr(x, p, 2))::UBIGINT)),
+            lambda c, b: xor(c >> 8, tb[((xor(c, b) & 255) + 1)::BIGINT]))) AS h
+        FROM per_document, crc_table),
+    typed AS (
+        SELECT n, CASE WHEN h % {spelling.TYPO} = 0 THEN substr(run, 1, (h % length(run))::BIGINT)
+            || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word
+        FROM hashed),
+    words AS (
+        SELECT word, sum(n)::BIGINT AS n FROM typed GROUP BY word
+        HAVING length(word) >= {spelling.MIN_CHARS} AND sum(n) >= {spelling.MIN_COUNT}),
+    cut AS (
+        SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    replaced AS (SELECT a.word, b.word AS other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word),
+    longer AS (SELECT DISTINCT cut.word, words.word AS other FROM cut JOIN words ON words.word = cut.rest),
+    near AS (
+        SELECT word, other FROM replaced UNION ALL SELECT word, other FROM longer UNION ALL SELECT other, word FROM longer),
+    best AS (
+        SELECT near.word, count(*) AS n_near, max(o.n) AS best_n, first(other ORDER BY o.n DESC, other) AS other
+        FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+    formed AS (
+        SELECT words.word, words.n, coalesce(n_near, 0)::BIGINT AS n_near,
+            CASE WHEN best_n >= {spelling.RATIO} * words.n THEN other END AS form,
+            CASE WHEN best_n >= {spelling.RATIO} * words.n THEN best_n END AS form_n
+        FROM words LEFT JOIN best ON best.word = words.word),
+    led(word, root) AS (
+        SELECT word, word FROM formed WHERE form IS NULL
+        UNION ALL SELECT formed.word, led.root FROM led JOIN formed ON formed.form = led.word)
+    SELECT formed.*, led.root FROM formed JOIN led ON led.word = formed.word
+    """,
+)
+def op12(spark, sf_dir):
+    return spelling.variants(spelling.vocabulary(read_table(spark, sf_dir, "documents")))
+
+
 @query(
     "op13_collocations",
     f"""
