@@ -35,14 +35,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.llm import bits
-from blotter.llm.common import staged
+from blotter.llm.common import released, staged
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 # Score scale, and the share of occurrences inside a longer phrase that drops one.
 SCALE, INSIDE = 2_000_000, 80
 
-# Words in a row of the shorter relations, and distinct words that a task holds at once.
-ROW, HELD = 1024, 300_000
+# Words in a row of the shorter relations, words that a task works on at once, and distinct
+# words that it holds.
+ROW, STEP, HELD = 1024, 1 << 18, 200_000
 # Identifiers repeat, so a file's dictionary may hold up to a million of them.
 _DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 
@@ -65,12 +66,16 @@ def collocations(
     if longest < 2 or least < 1:
         raise ValueError("a phrase has two words at least and occurs")
     relation, words = _occurrences(docs, lang, text)
+    before = relation
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = {1: words.filter(F.col("a") >= least)}
     for length in range(1, longest):
         relation = _extended(relation, frequent[length], length, most_bits)
+        released(before)
+        before = relation
         counted = _counts(relation, length + 1).filter(F.col("a") >= least)
         frequent[length + 1] = staged(_scored(counted, frequent, length + 1), f"phrases{length + 1}")
+    released(relation)
     kept = [_without_parts(frequent, m, longest) for m in range(2, longest + 1)]
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     return (
@@ -98,16 +103,22 @@ def _occurrences(docs: DataFrame, lang: str, text: str) -> tuple[DataFrame, Data
 
         def read(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
             known: dict[str, _Words] = {}
+            runs, size = [], 0
             for batch in batches:
-                runs = []
-                for name, body in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+                for name, body in zip(batch.column(0), batch.column(1).cast(pa.binary())):
+                    name = name.as_py()
                     if name not in known:
                         known[name] = _Words(name, seed)
-                    runs.append(known[name].read(body))
+                    runs.append(known[name].read(body.as_py()))
+                    size += len(runs[-1])
+                    if size >= STEP:
+                        yield _first_rows(runs=runs)
+                        runs, size = [], 0
+                        if sum(len(w.counts) for w in known.values()) > HELD:
+                            yield from _word_rows(known)
+                            known = {}
+            if runs:
                 yield _first_rows(runs=runs)
-                if sum(len(w.counts) for w in known.values()) > HELD:
-                    yield from _word_rows(known)
-                    known = {}
             yield from _word_rows(known)
 
         both = staged(texts.mapInArrow(read, _FIRST), "occurrences", **_DICTIONARY)
@@ -119,8 +130,11 @@ def _occurrences(docs: DataFrame, lang: str, text: str) -> tuple[DataFrame, Data
             "words",
         )
         if words.groupBy("w1").count().filter("count > 1").isEmpty():
-            return both.filter("run IS NOT NULL").select("run"), words
+            relation = both.filter("run IS NOT NULL").select("run")
+            relation.staged_in = both.staged_in
+            return relation, words
         seed += 1
+        released(both)
 
 
 class _Words(dict):
@@ -178,8 +192,7 @@ def _extended(relation: DataFrame, frequent: DataFrame, length: int, most_bits:
     known = bits.bitmap_of(frequent.select(*names), size, phrase_hash, most_bits)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).flatten().to_numpy()
+        for words in _steps(batches):
             here = windows(words, length)
             found = np.zeros(len(words), dtype=bool)
             found[here] = known.has(phrase_hash([words[here + i] for i in range(length)]))
@@ -193,6 +206,18 @@ def _extended(relation: DataFrame, frequent: DataFrame, length: int, most_bits:
     return longer
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The words of some rows at a time; every row ends with a piece."""
+    for batch in batches:
+        lists = batch.column(0)
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        if len(ends) and ends[-1] > ends[0]:
+            at = np.unique(np.searchsorted(ends, np.arange(ends[0] + STEP, ends[-1], STEP)))
+            for start, end in zip([ends[0], *ends[at]], [*ends[at], ends[-1]]):
+                if end > start:
+                    yield values[start:end]
+
+
 def windows(words: np.ndarray, length: int) -> np.ndarray:
     """Places at which so many words follow one another within a piece."""
     n = len(words) - length + 1
@@ -237,8 +262,7 @@ def _counts(relation: DataFrame, length: int) -> DataFrame:
     names = [f"w{i}" for i in range(1, length + 1)]
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column(0).flatten().to_numpy()
+        for words in _steps(batches):
             here = windows(words, length)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(words[here + i]) for i in range(length)], names=names

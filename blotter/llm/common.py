@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.sources.shared import fresh_folder
+from blotter.sources.shared import fresh_folder, remove_folder
 
 # Words are maximal runs of anything but the six ASCII white-space characters.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -23,7 +23,14 @@ def staged(df: DataFrame, purpose: str, **options: str) -> DataFrame:
     """
     folder = fresh_folder(df.sparkSession, purpose)
     df.write.options(**options).parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    table = df.sparkSession.read.schema(df.schema).parquet(folder)
+    table.staged_in = folder
+    return table
+
+
+def released(table: DataFrame) -> None:
+    """Remove the files of a staged table that nothing reads any more."""
+    remove_folder(table.sparkSession, table.staged_in)
 
 
 def word_array(text: Column) -> Column:
