@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 from functools import reduce
 from operator import add, and_
@@ -17,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blotter.operators.cells import CenterGrid, constant
 from blotter.operators.features import STANDARDIZED, WEIGHT, Scale
 
 # The library default seed is a hash that differs between Python processes.
@@ -28,6 +28,9 @@ KMEANS_TOL = 1e-4
 GMM_MAX_ITER = 100
 GMM_TOL = 0.01
 
+# Centers up to which comparing with all is quicker than finding a cell.
+FEW_CENTERS = 16
+
 
 def fit_kmeans(
     points: DataFrame,
@@ -124,25 +127,33 @@ def gmm_components(spark: SparkSession, model: GaussianMixtureModel, scale: Scal
 def nearest_center(columns: Sequence[str], centers: Sequence[Sequence[float]]) -> Column:
     """Index of the nearest of the given centers, the lowest one on a tie.
 
-    The centers are one constant array of the plan, so assignment is a projection
-    whose size does not depend on their number: no join, no shuffle, no vectors.
+    The centers are constants of the plan, so assignment is a projection: no join, no shuffle,
+    no vectors. With more than ``FEW_CENTERS`` of them a point is compared only with those that can win in its
+    cell of a grid over the centers; points far outside the grid are compared with all.
     """
-    listed = F.from_json(F.lit(json.dumps([[float(v) for v in c] for c in centers])), "array<array<double>>")
-    distances = F.transform(
-        listed,
-        lambda center, i: F.struct(
-            reduce(
-                add,
-                [
-                    (F.col(f"`{c}`") - center[j]) * (F.col(f"`{c}`") - center[j])
-                    for j, c in enumerate(columns)
-                ],
-            ).alias("distance"),
-            i.alias("index"),
-        ),
-    )
-    known = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in columns])
-    return F.when(known, F.array_min(distances)["index"]).cast("int")
+    xs = [F.col(f"`{c}`") for c in columns]
+    values = [[float(v) for v in center] for center in centers]
+    every = constant(values, "array<array<double>>")
+
+    def nearest(listed: Column, center) -> Column:
+        distances = F.transform(
+            listed,
+            lambda item, i: F.struct(
+                reduce(add, [(x - center(item)[j]) * (x - center(item)[j]) for j, x in enumerate(xs)]).alias(
+                    "distance"
+                ),
+                (item if listed is not every else i).alias("index"),
+            ),
+        )
+        return F.array_min(distances)["index"]
+
+    found = nearest(every, lambda center: center)
+    if len(values) > FEW_CENTERS:
+        grid = CenterGrid(values)
+        listed = nearest(grid.candidates(xs), lambda index: F.get(every, index))
+        found = F.when(grid.within_reach(xs), listed).otherwise(found)
+    known = reduce(and_, [x.isNotNull() for x in xs])
+    return F.when(known, found).cast("int")
 
 
 def assign_nearest_center(

@@ -74,36 +74,85 @@ def collapse_points(df: DataFrame, columns: Sequence[str] = COORDINATES) -> Data
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias(WEIGHT))
 
 
-def measure_scale(points: DataFrame, columns: Sequence[str] = COORDINATES) -> Scale:
-    """Scale of weighted points, equal to that of the rows they stand for.
+def column_moments(
+    df: DataFrame, columns: Sequence[str] = COORDINATES, weight: str | None = None, by: Sequence[str] = ()
+) -> DataFrame:
+    """Per group of ``by`` the number of rows and distinct rows, and each column's mean and summed squared deviations.
+
+    One pass. Spark's own average and variance keep a centre and join partial results around
+    it, so nothing cancels for columns that are large against their spread. Rows of one weight are alike in that, so
+    they are taken together per weight, and the groups are then joined pairwise. As weights of n rows add up to
+    n, there are at most the square root of 2 n of them.
+    """
+    w = F.col(f"`{weight}`") if weight else F.lit(1)
+    points = F.count(F.lit(1))
+    alike = (
+        df.withColumn("_w", w.cast("double"))
+        .groupBy(*by, "_w")
+        .agg(
+            points.alias("points"),
+            *[F.avg(f"`{c}`").alias(f"mean_{c}") for c in columns],
+            *[F.var_pop(f"`{c}`").alias(f"var_{c}") for c in columns],
+        )
+    )
+    rows = F.col("_w") * F.col("points")
+    per_weight = alike.select(
+        *by,
+        rows.alias("rows"),
+        "points",
+        *[F.col(f"mean_{c}") for c in columns],
+        *[(rows * F.col(f"var_{c}")).alias(f"squares_{c}") for c in columns],
+    )
+    return merge_moments(per_weight, columns, by)
 
-    Two small passes: the spread is summed around the mean, since the one-pass
-    form cancels badly for coordinates that are large against their spread.
+
+def merge_moments(
+    moments: DataFrame, columns: Sequence[str] = COORDINATES, by: Sequence[str] = ()
+) -> DataFrame:
+    """Moments of several groups, tables or files as those of all their rows, joined pairwise.
+
+    So the moments of files added later are merged with those kept, and no row is read again.
     """
-    weight = F.col(WEIGHT)
-    first = points.agg(
-        F.sum(weight).alias("rows"),
-        F.count(F.lit(1)).alias("points"),
-        *[(F.sum(weight * F.col(c)) / F.sum(weight)).alias(c) for c in columns],
-    ).first()
-    if first["points"] < 2:
-        raise ValueError(f"clustering needs at least 2 distinct points, got {first['points']}")
-    mean = tuple(first[c] for c in columns)
-    second = points.agg(
-        *[
-            F.sqrt(
-                F.sum(weight * (F.col(c) - F.lit(m)) * (F.col(c) - F.lit(m)))
-                / F.lit(first["rows"] - 1)
-            ).alias(c)
-            for c, m in zip(columns, mean)
-        ]
+    parts = F.struct("rows", "points", *[f"mean_{c}" for c in columns], *[f"squares_{c}" for c in columns])
+
+    def joined(a, b):
+        rows = a["rows"] + b["rows"]
+        share = F.coalesce(F.try_divide(b["rows"], rows), F.lit(0.0))
+        means, squares = [], []
+        for c in columns:
+            step = b[f"mean_{c}"] - a[f"mean_{c}"]
+            means.append((a[f"mean_{c}"] + step * share).alias(f"mean_{c}"))
+            apart = step * step * a["rows"] * share
+            squares.append((a[f"squares_{c}"] + b[f"squares_{c}"] + apart).alias(f"squares_{c}"))
+        return F.struct(rows.alias("rows"), (a["points"] + b["points"]).alias("points"), *means, *squares)
+
+    zero = [F.lit(0.0).alias("rows"), F.lit(0).cast("long").alias("points")]
+    zero += [F.lit(0.0).alias(f"{name}_{c}") for name in ("mean", "squares") for c in columns]
+    ordered = F.array_sort(F.collect_list(parts))  # the same order whatever tasks came first
+    merged = F.aggregate(ordered, F.struct(*zero), joined).alias("m")
+    return moments.filter("rows > 0").groupBy(*by).agg(merged).select(*by, "m.*")
+
+
+def moments_stddev(moments: DataFrame, columns: Sequence[str] = COORDINATES) -> list[Column]:
+    """Sample standard deviations of merged moments; null for fewer than two rows."""
+    spare = F.when(F.col("rows") > 1, F.col("rows") - 1)
+    return [F.sqrt(F.col(f"squares_{c}") / spare).alias(c) for c in columns]
+
+
+def measure_scale(points: DataFrame, columns: Sequence[str] = COORDINATES) -> Scale:
+    """Scale of weighted points, equal to that of the rows they stand for, in one pass."""
+    moments = column_moments(points, columns, WEIGHT)
+    row = moments.select(
+        "rows", "points", *[f"mean_{c}" for c in columns], *moments_stddev(moments, columns)
     ).first()
+    if row["points"] < 2:
+        raise ValueError(f"clustering needs at least 2 distinct points, got {row['points']}")
     return Scale(
         tuple(columns),
-        mean,
-        tuple(second[c] for c in columns),
-        first["rows"],
-        first["points"],
+        tuple(row[f"mean_{c}"] for c in columns),
+        tuple(row[c] for c in columns),
+        int(row["rows"]),
+        row["points"],
     )
 
 

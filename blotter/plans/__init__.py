@@ -7,6 +7,7 @@ from blotter.plans.hotspots import (
     prepare_points,
     score_models,
     sweep,
+    sweep_from_pool,
 )
 from blotter.plans.studies import (
     STUDIES,
@@ -30,4 +31,5 @@ __all__ = [
     "street_at_night",
     "street_by_day",
     "sweep",
+    "sweep_from_pool",
 ]

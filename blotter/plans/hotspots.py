@@ -10,7 +10,7 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from blotter.operators import clustering
+from blotter.operators import clustering, pooled
 from blotter.operators.features import (
     STANDARDIZED,
     WEIGHT,
@@ -31,6 +31,8 @@ POINTS_PER_PARTITION = 20_000
 LEAST_PARTITIONS = 8
 # Fits that run side by side. They share the points held, so this costs no memory by size.
 PARALLELISM = 4
+# Starts of a mixture. On planted spots half of the single starts end in a poor optimum.
+GMM_RESTARTS = 6
 
 
 @dataclass(frozen=True)
@@ -103,22 +105,38 @@ def fit_models(
     seed: int = clustering.SEED,
     max_iter: int | None = None,
     parallelism: int = PARALLELISM,
+    restarts: int = 1,
 ) -> dict:
-    """One model per k. Fits are independent, so a few run side by side."""
+    """One model per k. Fits are independent, so a few run side by side.
+
+    A mixture is fitted ``restarts`` times, from ``seed``, ``seed + 1`` and so on over the same points held,
+    and the likeliest is kept, of equals the one of the lowest seed. k-means draws its start from the whole
+    data and has one.
+    """
     fit = {"kmeans": clustering.fit_kmeans, "gmm": clustering.fit_gmm}[algorithm]
-    options = {"weight": WEIGHT, "seed": seed}
+    if restarts < 1 or (restarts > 1 and algorithm != "gmm"):
+        raise ValueError("a mixture has one start or more, k-means one")
+    options = {"weight": WEIGHT}
     if max_iter:
         options["max_iter"] = max_iter
 
-    def one(k):
+    def one(start):
+        k, own_seed = start
         names = {"prediction": _prediction(k)}
         if algorithm == "gmm":
             names["probability"] = f"probability_{k}"
-        return fit(points.frame, k, **options, **names)
+        return fit(points.frame, k, seed=own_seed, **options, **names)
 
     task = inheritable_thread_target(points.frame.sparkSession)(one)
-    with ThreadPool(max(1, min(parallelism, len(ks)))) as pool:
-        return dict(zip(ks, pool.map(task, ks)))
+    starts = [(k, seed + i) for k in ks for i in range(restarts)]
+    with ThreadPool(max(1, min(parallelism, len(starts)))) as pool:
+        fitted = list(zip(starts, pool.map(task, starts)))
+    if restarts == 1:
+        return {k: model for (k, _), model in fitted}
+    return {
+        k: max((m for (own, _), m in fitted if own == k), key=lambda m: m.summary.logLikelihood)
+        for k in ks
+    }
 
 
 def score_models(points: PointSet, models: dict) -> DataFrame:
@@ -165,13 +183,39 @@ def sweep(
     seed: int = clustering.SEED,
     max_iter: int | None = None,
     parallelism: int = PARALLELISM,
+    restarts: int = 1,
 ) -> DataFrame:
     """Fit and score every k over one prepared set of points."""
     with prepare_points(incidents) as points:
-        models = fit_models(points, ks, algorithm, seed, max_iter, parallelism)
+        models = fit_models(points, ks, algorithm, seed, max_iter, parallelism, restarts)
         return score_models(points, models)
 
 
+def sweep_from_pool(
+    incidents: DataFrame,
+    ks: Sequence[int],
+    seed: int = clustering.SEED,
+    max_iter: int = clustering.KMEANS_MAX_ITER,
+) -> DataFrame:
+    """``(k, silhouette, cost)`` of k-means for every k, all from one pool of candidate centers.
+
+    ``sweep`` starts each k anew. Here the candidates are drawn once, and every pass over the points
+    serves all ks (``pooled``).
+    """
+    with prepare_points(incidents) as points:
+        models = pooled.fit_pooled(points.frame, points.centred, WEIGHT, ks, seed, max_iter)
+        labelled = points.frame.withColumns(
+            {_prediction(k): clustering.nearest_center(points.centred, m.centers) for k, m in models.items()}
+        )
+        labels = [_prediction(k) for k in models]
+        scores = silhouette_scores(labelled, points.centred, labels, WEIGHT).collect()
+    found = {row["labelling"]: row["silhouette"] for row in scores}
+    return incidents.sparkSession.createDataFrame(
+        [(k, found[_prediction(k)], m.cost) for k, m in models.items()],
+        "k int, silhouette double, cost double",
+    )
+
+
 def assign_kmeans(
     incidents: DataFrame, k: int, seed: int = clustering.SEED, max_iter: int | None = None
 ) -> DataFrame:
@@ -180,15 +224,19 @@ def assign_kmeans(
 
 
 def assign_gmm(
-    incidents: DataFrame, k: int, seed: int = clustering.SEED, max_iter: int | None = None
+    incidents: DataFrame,
+    k: int,
+    seed: int = clustering.SEED,
+    max_iter: int | None = None,
+    restarts: int = 1,
 ) -> DataFrame:
     """Every incident with its posterior and its most probable component."""
-    return _fit_and_assign(incidents, k, "gmm", seed, max_iter)
+    return _fit_and_assign(incidents, k, "gmm", seed, max_iter, restarts)
 
 
-def _fit_and_assign(incidents, k, algorithm, seed, max_iter) -> DataFrame:
+def _fit_and_assign(incidents, k, algorithm, seed, max_iter, restarts=1) -> DataFrame:
     with prepare_points(incidents) as points:
-        model = fit_models(points, [k], algorithm, seed, max_iter)[k]
+        model = fit_models(points, [k], algorithm, seed, max_iter, restarts=restarts)[k]
     model = model.setPredictionCol("prediction")
     if algorithm == "gmm":
         model = model.setProbabilityCol("probability")

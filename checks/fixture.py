@@ -14,8 +14,10 @@ from blotter.sources import (
     count_rejects,
     fresh_folder,
     header_line,
+    quarantine_incidents,
     read_incidents,
     read_lines,
+    read_quarantined,
     read_staged,
     stage_incidents,
 )
@@ -217,6 +219,30 @@ def incident_table_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_staged(spark, path)
 
 
+def incident_table_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by year and, within years, in the order of a curve over the map."""
+    path = _stage_once(
+        spark,
+        sf_dir,
+        "by-place",
+        lambda path: stage_incidents(
+            incident_view(spark, sf_dir), path, by_year=True, by_place=True
+        ),
+    )
+    return read_staged(spark, path)
+
+
+def csv_quarantined(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clean rows and rejected records of the events as incident CSV files."""
+    path = _stage_once(
+        spark,
+        sf_dir,
+        "quarantine",
+        lambda path: quarantine_incidents(spark, _csv_path(spark, sf_dir), path),
+    )
+    return read_quarantined(spark, path)
+
+
 def csv_incidents(spark: SparkSession, sf_dir: str, codes_as_int: bool = True) -> DataFrame:
     """The events as incident CSV files, read back typed."""
     return read_incidents(spark, _csv_path(spark, sf_dir), codes_as_int)

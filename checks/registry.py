@@ -28,18 +28,21 @@ from blotter.plans import (
     street_at_night,
     street_by_day,
     sweep,
+    sweep_from_pool,
 )
-from blotter.plans.hotspots import fit_models
+from blotter.plans.hotspots import GMM_RESTARTS, fit_models
 from blotter.schema import COORDINATES, INCIDENT_COLUMNS
-from blotter.sources import fresh_folder, write_counts
+from blotter.sources import cluster_tiles, fresh_folder, write_cluster_tiles, write_counts
 from checks.fixture import (
     INCIDENT_SQL,
     LINES_SQL,
     PLANTED_SQL,
     TEXT_SQL,
     csv_incidents,
+    csv_quarantined,
     csv_rejects,
     incident_table,
+    incident_table_by_place,
     incident_table_by_year,
     incident_view,
     lineitem_points,
@@ -108,6 +111,34 @@ def csv_reject_counts(spark, sf_dir):
     return csv_rejects(spark, sf_dir)
 
 
+_MISFITS = " union all ".join(
+    f"select event_id as event, '{c}' as column_name, cast(\"{c}\" as varchar) as value from text_view"
+    f' where "{c}" is not null and try_cast(cast("{c}" as varchar) as {kind}) is null'
+    for c, kind in _TYPED.items()
+)
+
+
+@query(
+    f"with {LINES_SQL}, misfits as ({_MISFITS}) select line as record, column_name, misfits.value"
+    " from misfits join file_lines on event_id = event"
+)
+def csv_rejected_records(spark, sf_dir):
+    """Every field that did not fit, with its whole record as it stands in the file."""
+    _, rejects = csv_quarantined(spark, sf_dir)
+    return rejects.select("record", F.inline("fields"))
+
+
+@query(
+    with_incidents(
+        f", misfits as ({_MISFITS}) select {_ALL} from incidents anti join misfits on \"ID\" = event"
+    )
+)
+def csv_clean_rows(spark, sf_dir):
+    """The rows written beside them, in the same read."""
+    clean, _ = csv_quarantined(spark, sf_dir)
+    return clean
+
+
 @query(f"with {LINES_SQL} select value from lines")
 def text_line_scan(spark, sf_dir):
     return raw_lines(spark, sf_dir)
@@ -233,6 +264,26 @@ def filter_bbox(spark, sf_dir):
     return incident_table(spark, sf_dir).filter(filters.in_open_box())
 
 
+@query(with_incidents(f" select {_ALL} from incidents where {_BOX}"))
+def filter_bbox_by_place(spark, sf_dir):
+    """The same on incidents staged along a curve over the map: whole row groups are left out."""
+    return incident_table_by_place(spark, sf_dir).filter(filters.in_open_box())
+
+
+# Some of the places, so most row groups of a table in the order of the curve are outside.
+SMALL_BOX = ((41.675, 41.805), (-87.745, -87.605))
+
+
+@query(
+    with_incidents(
+        f" select {_ALL} from incidents where \"Latitude\" > {SMALL_BOX[0][0]} and \"Latitude\" < {SMALL_BOX[0][1]}"
+        f' and "Longitude" > {SMALL_BOX[1][0]} and "Longitude" < {SMALL_BOX[1][1]}'
+    )
+)
+def filter_small_box_by_place(spark, sf_dir):
+    return incident_table_by_place(spark, sf_dir).filter(filters.in_open_box(*SMALL_BOX))
+
+
 _HOURS_SQL = f", hours as (select \"ID\", strftime({_STAMP_SQL}, '%H') as hour from messy)"
 
 
@@ -337,6 +388,25 @@ def coordinate_stddev(spark, sf_dir):
     return spread.select(*[F.round(c, 6).alias(c) for c in COORDINATES])
 
 
+@query(
+    with_incidents(
+        ' select count("Latitude") as rows, round(avg("Latitude"), 6) as mean,'
+        ' round(stddev_samp("Latitude"), 6) as stddev from incidents where "Latitude" is not null'
+    )
+)
+def merged_moments(spark, sf_dir):
+    """Spread from the moments of each year, kept apart and then merged: no row is read twice."""
+    incidents = incident_table(spark, sf_dir).filter("Latitude is not null")
+    per_year = features.column_moments(incidents, ["Latitude"], by=["Year"])
+    whole = features.merge_moments(per_year, ["Latitude"])
+    (stddev,) = features.moments_stddev(whole, ["Latitude"])
+    return whole.select(
+        F.col("rows").cast("long").alias("rows"),
+        F.round("mean_Latitude", 6).alias("mean"),
+        F.round(stddev, 6).alias("stddev"),
+    )
+
+
 # --- scalar functions -------------------------------------------------------------
 
 
@@ -469,6 +539,26 @@ def cluster_map_points(spark, sf_dir):
     return cluster_map(clustering.assign_nearest_center(incidents, COORDINATES, CENTERS))
 
 
+# Zooms of the tiles that are checked.
+TILE_ZOOM = 12
+
+
+@query(
+    f"""with mapped as ({_center_sql('"Longitude", "Latitude"')}),
+finest as (select cast(least(floor(("Longitude" + 180) / 360 * {1 << TILE_ZOOM}), {(1 << TILE_ZOOM) - 1}) as bigint) as x,
+  cast(least(floor((90 - "Latitude") / 180 * {1 << TILE_ZOOM}), {(1 << TILE_ZOOM) - 1}) as bigint) as y,
+  prediction as cluster from mapped)
+select cast(zoom as integer) as zoom, x >> ({TILE_ZOOM} - zoom) as x, y >> ({TILE_ZOOM} - zoom) as y, cluster, count(*) as count
+from finest, range({TILE_ZOOM + 1}) t(zoom) group by 1, 2, 3, 4"""
+)
+def cluster_map_tiles(spark, sf_dir):
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
+    mapped = clustering.assign_nearest_center(incidents, COORDINATES, CENTERS)
+    path = fresh_folder(spark, "tiles")
+    write_cluster_tiles(cluster_tiles(mapped, TILE_ZOOM), path)
+    return spark.read.parquet(path)
+
+
 _POINT = ("l_quantity", "l_extendedprice")
 
 
@@ -606,7 +696,7 @@ def planted_cluster_map(spark, sf_dir):
 
 @query(_EVERY_POINT.format('"ID"'))
 def planted_gmm_predict(spark, sf_dir):
-    return _assigned(assign_gmm(planted_points(spark, sf_dir), 3), "ID")
+    return _assigned(assign_gmm(planted_points(spark, sf_dir), 3, restarts=GMM_RESTARTS), "ID")
 
 
 @query(
@@ -615,7 +705,7 @@ def planted_gmm_predict(spark, sf_dir):
 )
 def planted_gmm_fit(spark, sf_dir):
     with prepare_points(planted_points(spark, sf_dir)) as points:
-        model = fit_models(points, [3], "gmm")[3]
+        model = fit_models(points, [3], "gmm", restarts=GMM_RESTARTS)[3]
     found = _numbered(clustering.gmm_components(spark, model, points.scale))
     return found.select(
         F.col("number").alias("cluster"),
@@ -642,6 +732,13 @@ def planted_best_k(spark, sf_dir):
     return best.select("k", F.round("silhouette", 6).alias("silhouette"))
 
 
+@query(_PLANTED_SCORE)
+def planted_best_k_from_pool(spark, sf_dir):
+    scores = sweep_from_pool(planted_points(spark, sf_dir), [2, 3, 4, 5])
+    best = scoring.best_k(scores)
+    return best.select("k", F.round("silhouette", 6).alias("silhouette"))
+
+
 # --- fitted models on the studies: checked by invariants in the tests -------------
 
 
@@ -661,14 +758,14 @@ def kmeans_predict(spark, sf_dir):
 @query()
 def gmm_fit(spark, sf_dir):
     with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
-        model = fit_models(points, [3], "gmm")[3]
+        model = fit_models(points, [3], "gmm", restarts=GMM_RESTARTS)[3]
     return clustering.gmm_components(spark, model, points.scale)
 
 
 @query()
 def gmm_predict(spark, sf_dir):
     incidents = domestic_in_homes(incident_table(spark, sf_dir))
-    assigned = assign_gmm(incidents, 3)
+    assigned = assign_gmm(incidents, 3, restarts=GMM_RESTARTS)
     return assigned.select(
         "ID", *COORDINATES, "prediction", vector_to_array("probability").alias("probability")
     )
@@ -684,6 +781,12 @@ def kmeans_k_sweep(spark, sf_dir):
     return _study(spark, sf_dir, "domestic_kmeans_3_to_9")
 
 
+@query()
+def kmeans_k_sweep_from_pool(spark, sf_dir):
+    study = STUDIES["domestic_kmeans_3_to_9"]
+    return sweep_from_pool(study.select(incident_table(spark, sf_dir)), study.ks)
+
+
 @query()
 def gmm_k_sweep(spark, sf_dir):
     return _study(spark, sf_dir, "domestic_gmm_3_to_9")

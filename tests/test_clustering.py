@@ -2,12 +2,14 @@ import math
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from blotter.operators import clustering, features, scoring
+from blotter.operators import clustering, features, pooled, scoring
+from blotter.operators.cells import CenterGrid
 from blotter.operators.features import STANDARDIZED, WEIGHT
 from blotter.plans import (
     STUDIES,
@@ -17,8 +19,9 @@ from blotter.plans import (
     prepare_points,
     score_models,
     sweep,
+    sweep_from_pool,
 )
-from blotter.plans.hotspots import fit_models, partitions_for
+from blotter.plans.hotspots import GMM_RESTARTS, fit_models, partitions_for
 from blotter.sources import shared_root
 from checks.fixture import incident_table
 
@@ -150,6 +153,73 @@ def test_gmm_finds_planted_spots(spark, planted):
     assert sum(r["mixing_weight"] for r in means) == pytest.approx(1.0)
 
 
+def test_restarts_keep_the_likeliest_mixture(planted):
+    with prepare_points(planted) as points:
+        alone = [fit_models(points, [3], "gmm", seed=20 + i)[3].summary.logLikelihood for i in range(GMM_RESTARTS)]
+        best = fit_models(points, [3], "gmm", restarts=GMM_RESTARTS)[3]
+        assert best.summary.logLikelihood == pytest.approx(max(alone), rel=1e-9)
+        found = sorted(points.scale.unscaled(g.mean) for g in best.gaussians)
+        with pytest.raises(ValueError):
+            fit_models(points, [3], "kmeans", restarts=2)
+    for got, want in zip(found, sorted(SPOTS)):
+        assert got == pytest.approx(want, abs=0.01)
+
+
+def test_pooled_sweep_costs_no_more_and_reads_the_incidents_once(spark, planted, domestic):
+    for incidents in (planted, domestic):
+        ks = [2, 3, 4, 6, 9]
+        usual = {r["k"]: r for r in sweep(incidents, ks).collect()}
+        found = {r["k"]: r for r in sweep_from_pool(incidents, ks).collect()}
+        assert list(found) == ks
+        for k in ks:
+            assert found[k]["cost"] <= usual[k]["cost"] * 1.01 + 1e-9
+    assert tuple(scoring.best_k(sweep_from_pool(planted, ks)).first())[0] == 3
+
+
+def test_pooled_models_are_settled_and_weighted(planted):
+    with prepare_points(planted) as points:
+        models = pooled.fit_pooled(points.frame, points.centred, WEIGHT, [3, 1])
+        rows = points.frame.select(*points.centred, WEIGHT).collect()
+    data = np.array([tuple(r) for r in rows])
+    xs, w = data[:, :2], data[:, 2]
+    for k, model in models.items():
+        centers = np.array(model.centers)
+        squares = ((xs[:, None] - centers) ** 2).sum(axis=2)
+        own = squares.argmin(axis=1)
+        assert model.cost == pytest.approx(float((w * squares.min(axis=1)).sum()), rel=1e-9)
+        for i in range(k):
+            assert np.average(xs[own == i], axis=0, weights=w[own == i]) == pytest.approx(centers[i], abs=1e-4)
+
+
+def test_pooled_fit_with_fewer_points_than_centers(spark):
+    few = spark.createDataFrame([(41.8, -87.0), (41.9, -87.5)] * 3, "Latitude double, Longitude double")
+    assert [r["cost"] for r in sweep_from_pool(few, [2, 5]).collect()] == pytest.approx([0, 0], abs=1e-12)
+
+
+def test_moments_merge_exactly_around_a_large_mean(spark):
+    rng = random.Random(1)
+    values = [(1e9 + rng.gauss(0, 1.0), rng.uniform(-1, 1), rng.randrange(1, 6), i % 7) for i in range(4000)]
+    df = spark.createDataFrame(values, "a double, b double, weight int, file int")
+    copies = np.repeat(np.array([v[:2] for v in values]), [v[2] for v in values], axis=0)
+    whole = features.column_moments(df, ["a", "b"], "weight")
+    per_file = features.column_moments(df, ["a", "b"], "weight", by=["file"])
+    kept, added = per_file.filter("file < 5"), per_file.filter("file >= 5")
+    merged = features.merge_moments(kept.unionByName(added), ["a", "b"])
+    for moments in (whole, merged):
+        row = moments.select("rows", "points", "mean_a", *features.moments_stddev(moments, ["a", "b"])).first()
+        assert (row["rows"], row["points"]) == (len(copies), 4000)
+        assert row["mean_a"] == pytest.approx(copies[:, 0].mean(), abs=1e-6)
+        assert row["a"] == pytest.approx(copies[:, 0].std(ddof=1), abs=1e-6)
+        assert row["b"] == pytest.approx(copies[:, 1].std(ddof=1), abs=1e-6)
+    none = features.column_moments(df.limit(0), ["a"])
+    assert none.select("rows", *features.moments_stddev(none, ["a"])).first() == (0.0, None)
+
+
+def test_scale_reads_the_points_once(planted, plan):
+    moments = features.column_moments(features.collapse_points(planted), COORDS, WEIGHT)
+    assert plan(moments).count("Scan ExistingRDD") <= 2  # named once in the tree and once in the list
+
+
 def test_same_seed_same_clusters_however_the_input_is_split(domestic):
     once = sweep(domestic, [4], seed=5).first()
     again = sweep(domestic.repartition(7), [4], seed=5).first()
@@ -255,15 +325,65 @@ def test_all_labellings_in_one_call(spark, labelled_rows):
     assert rows["one"]["silhouette"] is None and rows["one"]["clusters"] == 1
 
 
-@pytest.mark.parametrize("block", [1024, 3, 1])
-def test_silhouette_is_the_same_however_clusters_are_dealt(spark, labelled_rows, monkeypatch, block):
-    monkeypatch.setattr(scoring, "BLOCK", block)
-    rows = [(x, y, (i * 7) % 11 - 4) for i, (x, y, _) in enumerate([*labelled_rows, *labelled_rows[:9]])]
+@pytest.mark.parametrize("most_constant", [scoring.CONSTANT, 0])
+@pytest.mark.parametrize("gap", [1, 1024])
+def test_silhouette_is_the_same_by_constants_and_by_tables(spark, labelled_rows, most_constant, gap):
+    """Also with sparse and negative labels."""
+    rows = [(x, y, ((i * 7) % 11 - 4) * gap) for i, (x, y, _) in enumerate([*labelled_rows, *labelled_rows[:9]])]
     df = spark.createDataFrame(rows, "x double, y double, label int")
-    got = scoring.silhouette_scores(df, ["x", "y"], ["label"]).first()
+    got = scoring.silhouette_scores(df, ["x", "y"], ["label"], most_constant=most_constant).first()
     assert got["silhouette"] == pytest.approx(brute_force_silhouette(rows), abs=1e-9)
 
 
+@pytest.mark.parametrize("k", [40, 500, 3000])
+def test_silhouette_of_many_clusters_is_that_of_the_evaluator(spark, k):
+    """Clusters of very different spread, so the nearest mean is often not the nearest cluster."""
+    rng = random.Random(k)
+    spots = [(rng.uniform(0, 50), rng.uniform(-9, 9), rng.choice([0.01, 0.3, 4.0])) for _ in range(k)]
+    rows = []
+    for i in range(4 * k):
+        x, y, spread = spots[i % k]
+        rows.append((rng.gauss(x, spread), rng.gauss(y, spread), i % k))
+    df = spark.createDataFrame(rows, "x double, y double, label int").withColumns(
+        {"v": array_to_vector(F.array("x", "y")), "prediction": F.col("label")}
+    )
+    evaluator = ClusteringEvaluator(
+        featuresCol="v", metricName="silhouette", distanceMeasure="squaredEuclidean"
+    )
+    want = evaluator.evaluate(df)
+    for most_constant in (scoring.CONSTANT, 0):
+        got = scoring.silhouette_scores(df, ["x", "y"], ["label"], most_constant=most_constant).first()
+        assert got["silhouette"] == pytest.approx(want, abs=1e-9) and got["clusters"] == k
+
+
+def test_cell_lists_are_short_and_keep_every_winner():
+    rng = np.random.default_rng(4)
+    centers = rng.uniform([41.6, -87.9], [42.0, -87.5], (1000, 2))
+    centers[500:520] = centers[:20]  # equal centers tie
+    grid = CenterGrid(centers)
+    assert np.mean([len(x) for x in grid.lists]) < 8
+    points = rng.uniform([41.4, -88.1], [42.2, -87.3], (3000, 2))
+    width = (grid.high - grid.low) / grid.steps
+    cells = np.clip(((points - grid.low) / width).astype(int), 0, grid.steps - 1)
+    for point, cell in zip(points, cells):
+        best = int(((centers - point) ** 2).sum(axis=1).argmin())
+        assert best in grid.lists[cell[0] * grid.steps + cell[1]]
+
+
+def test_many_centers_give_what_comparing_all_gives(spark):
+    """Lattices tie everywhere; some points are far outside, huge or no numbers."""
+    rng = random.Random(9)
+    lattice = [(41.5 + i * 0.25, -88.0 + j * 0.25) for i in range(8) for j in range(8)]
+    points = [(41.0 + rng.randrange(40) / 8, -89.0 + rng.randrange(40) / 8) for _ in range(500)]
+    points += [(1e18, -1e18), (float("nan"), 1.0), (float("inf"), 2.0), (None, 3.0), (-1e300, 1e300), (41.5, -1e12)]
+    df = spark.createDataFrame(points, "Latitude double, Longitude double")
+    for centers in (lattice, lattice[::-1] + lattice, [(1.0, 2.0)] * 30):
+        all_of_them = [f"struct((Latitude - {a}D) * (Latitude - {a}D) + (Longitude - {b}D) * (Longitude - {b}D) as d, {i} as i)" for i, (a, b) in enumerate(centers)]
+        want = f"if(Latitude is null or Longitude is null, null, array_min(array({', '.join(all_of_them)})).i)"
+        both = df.select(clustering.nearest_center(COORDS, centers).alias("got"), F.expr(want).alias("want"))
+        assert both.filter("not (got <=> want)").count() == 0
+
+
 def test_best_k_without_scores_is_null(spark):
     scores = spark.createDataFrame([(3, None), (4, None)], "k int, silhouette double")
     assert tuple(scoring.best_k(scores).first()) == (None, None)

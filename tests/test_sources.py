@@ -1,24 +1,35 @@
+import csv
+from pathlib import Path
+
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from blotter.functions import hour_of_day
 from blotter.operators import aggregates, filters
 from blotter.operators.columns import with_calendar
+from blotter.operators.filters import in_open_box
 from blotter.plans import domestic_in_homes, street_at_night
 from blotter.schema import INCIDENT_COLUMNS, incident_schema
 from blotter.sources import (
+    cluster_tiles,
     count_rejects,
     fresh_folder,
     header_line,
+    quarantine_incidents,
     read_incidents,
     read_lines,
+    read_quarantined,
     read_staged,
     stage_incidents,
     write_cluster_map,
+    write_cluster_tiles,
     write_counts,
     write_scores,
 )
+from blotter.sources.incidents import curve_position
 from checks.fixture import incident_view
+from checks.registry import SMALL_BOX
 
 # Fields that the golden rows do not vary.
 REST = {
@@ -180,3 +191,84 @@ def test_sinks_round_trip(spark, golden):
     path = fresh_folder(spark, "scores")
     write_scores(spark.createDataFrame([(3, 0.5)], "k int, silhouette double"), path)
     assert spark.read.parquet(path).count() == 1
+
+
+def test_quarantine_keeps_record_file_and_fields(spark, tmp_path):
+    """Both tables come from one read; a record with several misfits is one row."""
+    names = list(INCIDENT_COLUMNS)
+    good = {c: "" for c in names} | {"ID": "1", "Year": "2010"}
+    bad = good | {"ID": "2", "Year": "MMX", "Beat": "x9", "Block": "A, B"}
+    odd = good | {"ID": "none", "Arrest": "perhaps"}
+    for name, rows in {"one": [good, bad], "two": [odd]}.items():
+        with open(tmp_path / f"{name}.csv", "w", newline="") as file:
+            writer = csv.writer(file)
+            writer.writerow(names)
+            writer.writerows([row[c] for c in names] for row in rows)
+    folder = str(tmp_path / "out")
+    quarantine_incidents(spark, [str(tmp_path / "one.csv"), str(tmp_path / "two.csv")], folder)
+    clean, rejects = read_quarantined(spark, folder)
+    assert [r["ID"] for r in clean.collect()] == [1] and clean.columns == names
+    found = {r["file"].rsplit("/", 1)[1]: r for r in rejects.collect()}
+    assert {tuple(f) for f in found["one.csv"]["fields"]} == {("Year", "MMX"), ("Beat", "x9")}
+    assert {tuple(f) for f in found["two.csv"]["fields"]} == {("ID", "none"), ("Arrest", "perhaps")}
+    assert '"A, B"' in found["one.csv"]["record"]
+
+
+def test_curve_order_leaves_out_row_groups(spark, larger_dir, tmp_path):
+    """How many row groups can hold points of a box, by the statistics that a scan looks at."""
+    view = incident_view(spark, larger_dir)
+
+    def groups(path, box):
+        read = total = rows = 0
+        for file in Path(path).rglob("*.parquet"):
+            held = pq.ParquetFile(file).metadata
+            places = {held.schema.column(i).name: i for i in range(held.num_columns)}
+            for g in range(held.num_row_groups):
+                total += 1
+                rows += held.row_group(g).num_rows
+                stats = [held.row_group(g).column(places[c]).statistics for c in ("Latitude", "Longitude")]
+                read += all(s.has_min_max and s.min < high and s.max > low for s, (low, high) in zip(stats, box))
+        return read, total, rows
+
+    plain, curve = str(tmp_path / "plain"), str(tmp_path / "curve")
+    stage_incidents(view.repartition(40), plain)
+    stage_incidents(view, curve, by_place=True, files=40)
+    read, total, rows = groups(plain, SMALL_BOX)
+    assert read == total >= 40
+    fewer, total, same = groups(curve, SMALL_BOX)
+    assert fewer <= total / 4 and total >= 30 and rows == same
+    want = view.filter(in_open_box(*SMALL_BOX)).count()
+    staged = read_staged(spark, curve).filter(in_open_box(*SMALL_BOX))
+    assert staged.count() == want > 0
+    largest = max(pq.ParquetFile(f).metadata.num_rows for f in Path(curve).rglob("*.parquet"))
+    assert largest < rows / 10  # though two of five incidents are at one place
+
+
+def test_curve_interleaves_bits(spark):
+    rows = [(41.9, -87.6), (-90.0, -180.0), (90.0, 180.0), (None, 1.0), (float("nan"), 1.0), (0.0, 0.0)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got = [r[0] for r in df.select(curve_position(F.col("a"), F.col("b"))).collect()]
+
+    def plain(lat, lon):
+        y, x = (min(int(s * 2**24), 2**24 - 1) for s in ((lat + 90) / 180, (lon + 180) / 360))
+        return sum(((y >> i & 1) << (2 * i + 1)) | ((x >> i & 1) << (2 * i)) for i in range(24))
+
+    assert got == [plain(*rows[0]), 0, 2**48 - 1, None, None, plain(0, 0)]
+
+
+def test_tiles_nest_and_keep_every_incident(spark, tmp_path):
+    rows = [(41.9, -87.6, 1), (41.9001, -87.6001, 1), (41.9, -87.6, 2), (-90.0, -180.0, 0), (90.0, 180.0, 0), (None, 1.0, 1), (1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "Latitude double, Longitude double, prediction int")
+    tiles = cluster_tiles(df, 9)
+    path = str(tmp_path / "tiles")
+    write_cluster_tiles(tiles, path)
+    found = spark.read.parquet(path)
+    assert {r["zoom"]: r["n"] for r in found.groupBy("zoom").agg(F.sum("count").alias("n")).collect()} == {z: 5 for z in range(10)}
+    cells = {(r["zoom"], r["x"], r["y"], r["cluster"]): r["count"] for r in found.collect()}
+    up = {}
+    for (z, x, y, c), n in cells.items():
+        if z:
+            up[z - 1, x // 2, y // 2, c] = up.get((z - 1, x // 2, y // 2, c), 0) + n
+    assert up == {k: n for k, n in cells.items() if k[0] < 9}
+    assert cells[9, 0, 511, 0] == cells[9, 511, 0, 0] == 1
+    assert cluster_tiles(df.limit(0)).count() == 0
