@@ -145,9 +145,9 @@ def slow_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("contexts", [1_000_000, 1])
+@pytest.mark.parametrize("hot", [20_000, 3, 0])
 @pytest.mark.parametrize("length, seed", [(13, 5), (4, 2), (3, 3)])
-def test_repeated_windows_are_removed(spark, length, seed, contexts):
+def test_repeated_windows_are_removed(spark, length, seed, hot):
     rng = random.Random(5)
     passages = [[rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randrange(8, 40))] for _ in range(6)]
     rows = [(i, t) for i, t in enumerate([None, "", "a b", "ha " * 50, "ha " * 70])]
@@ -155,7 +155,7 @@ def test_repeated_windows_are_removed(spark, length, seed, contexts):
         parts = [[f"w{rng.randrange(500)}" for _ in range(rng.randrange(30))], rng.choice(passages)]
         rows.append((i, "\t".join(sum(parts * rng.randrange(1, 3), []))))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = substring_dedup.remove_repeats(docs, length=length, seed=seed, contexts=contexts)
+    found = substring_dedup.remove_repeats(docs, length=length, seed=seed, hot=hot)
     got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found.collect()}
     assert got == slow_repeats(rows, length)
     assert sum(x[1] for x in got.values()) > 100
