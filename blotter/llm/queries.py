@@ -170,20 +170,33 @@ _MIX_SIZED = """
     "op8_source_mixing",
     f"""
     WITH {_MIX_SIZED},
-    rated AS (
-        SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
-            CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate
-        FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+    lengths AS (
+        SELECT source, sum(size * length(bin(size)))::BIGINT AS weighed, min(length(bin(size))) AS low,
+            max(length(bin(size))) AS high
+        FROM sized GROUP BY source),
+    means AS (
+        SELECT t.*, l.low, l.high, CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE l.weighed / t.source_size END AS mean,
+            CASE WHEN t.source_size = 0 THEN 0.0::DOUBLE ELSE t.target / t.source_size END AS rate
+        FROM targets t JOIN lengths l ON l.source IS NOT DISTINCT FROM t.source),
+    often AS (
+        SELECT s.doc_id, s.source, s.size, m.source_size, m.target,
+            greatest(0.0::DOUBLE, rate * (1.0::DOUBLE + {mixing.TILT}::DOUBLE
+                * least(1.0::DOUBLE, CASE WHEN rate = 0 THEN 1.0::DOUBLE ELSE {float(mixing.MAX_REPEATS)}::DOUBLE / rate END - 1.0::DOUBLE)
+                * CASE WHEN greatest(high - mean, mean - low) = 0 THEN 0.0::DOUBLE
+                    ELSE (length(bin(s.size)) - mean) / greatest(high - mean, mean - low) END)) AS often
+        FROM sized s JOIN means m ON s.source IS NOT DISTINCT FROM m.source),
     chance AS (
-        SELECT *, floor(rate) AS certain, rate - floor(rate) AS p,
-            (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE AS u
-        FROM rated),
+        SELECT *, floor(often) AS certain, often - floor(often) AS p,
+            (('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+        FROM often),
     placed AS (
-        SELECT *, coalesce(sum(size) OVER (PARTITION BY source
-                ORDER BY (u / (1 - u)) / (p / (1 - p)), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+        SELECT *, sum(certain::BIGINT * size) OVER (PARTITION BY source) AS sure,
+            coalesce(sum(size) OVER (PARTITION BY source
+                ORDER BY CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END NULLS FIRST, doc_id, size
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
         FROM chance)
     SELECT doc_id, size, source_size, target,
-        ((certain + (p > 0 AND below + size / 2.0 <= target - certain * source_size)::INT) * size)::BIGINT AS taken
+        ((certain + (p > 0 AND below + size / 2.0::DOUBLE <= target - sure)::INT) * size)::BIGINT AS taken
     FROM placed
     """,
 )
