@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 PROBES, BITS_PER_KEY = 4, 16
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
-# Words in a slice (32 KB); a bitmap has up to 2,048 slices.
-SLICE = 1 << 12
+# Words in a slice (32 KB; a bitmap has up to 2,048 of them), and slices that one task merges in turn.
+SLICE, TOGETHER = 1 << 12, 8
 # Addresses that a task gathers before it sends them.
 GATHERED = 1 << 21
 
@@ -102,7 +102,7 @@ def merged(seen: DataFrame, words: int) -> DataFrame:
         if current is not None:
             yield _slice_row(current, once, twice)
 
-    parts = max(1, -(-words // SLICE))
+    parts = max(1, -(-words // (SLICE * TOGETHER)))
     return (
         seen.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(merge, SLICES)
     )
