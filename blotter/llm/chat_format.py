@@ -13,7 +13,8 @@ Defined cases: a null or empty text is an empty turn, and so is a null role. A n
 identifier is one conversation of its own. Turns are ordered by number, then role, then
 text, nulls first; repeated rows are repeated turns. A record whose fingerprint is not
 known, or which is not JSON, gives no turn and is listed by
-:func:`unmapped_records`. Empty tables give empty results. Operators read only the
+:func:`unmapped_records`. A table of turns is told by the fingerprint of its own schema, and may have more columns;
+one that fits no layout is refused. Texts are read whole whatever their length. Empty tables give empty results. Operators read only the
 columns they are told of. A conversation is one training text and hence one row; it is
 gathered in one task, while conversations are spread by identifier.
 """
@@ -21,12 +22,12 @@ gathered in one task, while conversations are spread by identifier.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The control strings of the template.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -93,6 +94,8 @@ def field_paths(structure, prefix: str = "") -> list[str]:
 
 
 def _shape(structure) -> str:
+    if structure is None:
+        return "VALUE"
     if isinstance(structure, dict):
         inner = (
             name if value is None else f"{name}: {_shape(value)}"
@@ -156,17 +159,38 @@ ROW_LAYOUTS = {
 }
 
 
-def row_turns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Canonical turns of a table that holds a turn a row."""
-    names = ROW_LAYOUTS.get(fingerprint({name: None for name in columns}))
+def table_structure(kind: T.DataType):
+    """The nested fields of a table or a column, as the layouts show them."""
+    if isinstance(kind, T.StructType):
+        return {f.name: table_structure(f.dataType) for f in kind.fields}
+    return [table_structure(kind.elementType)] if isinstance(kind, T.ArrayType) else None
+
+
+def row_layout(schema: T.StructType) -> tuple[str, str, str, str] | None:
+    """The fields of a table that hold conversation, turn, role and text; None if no layout fits.
+
+    A layout fits if the fingerprint of the table's fields of its names is its own; other fields do not matter. Of
+    several the first listed counts.
+    """
+    held = table_structure(schema)
+    for names in ROW_LAYOUTS.values():
+        found = {name: held[name] for name in names if name in held}
+        if len(found) == len(names) and fingerprint(found) in ROW_LAYOUTS:
+            return ROW_LAYOUTS[fingerprint(found)]
+    return None
+
+
+def row_turns(df: DataFrame) -> DataFrame:
+    """Canonical turns of a table that holds a turn a row, by the mapping that its own schema selects."""
+    names = row_layout(df.schema)
     if names is None:
-        raise ValueError(f"no mapping for the fields {sorted(columns)}")
-    conversation, turn, role, text = names
+        raise ValueError(f"no mapping for the fields {field_paths(table_structure(df.schema))}")
+    conversation, turn, role, text = (F.col(f"`{name}`") for name in names)
     return df.select(
-        F.col(conversation).alias("conversation"),
-        F.col(turn).cast("long").alias("turn"),
-        F.col(role).cast("string").alias("role"),
-        F.col(text).cast("string").alias("text"),
+        conversation.alias("conversation"),
+        turn.cast("long").alias("turn"),
+        role.cast("string").alias("role"),
+        text.cast("string").alias("text"),
     )
 
 

@@ -239,9 +239,7 @@ _ESCAPED = "replace(replace({}, '\\', '\\\\'), '<|', '<\\|')"
     """,
 )
 def op10(spark, sf_dir):
-    rows = chat_format.row_turns(
-        read_table(spark, sf_dir, "conversations"), ("conv_id", "turn", "role", "text")
-    )
+    rows = chat_format.row_turns(read_table(spark, sf_dir, "conversations"))
     said = ", ".join(f'{{"role": "{who}", "content": "{_HARD_CASE}"}}' for who in ("user", "assistant"))
     record = spark.range(1).select(
         F.lit(-1).cast("long").alias("conv_id"), F.lit(f'{{"messages": [{said}]}}').alias("record")
