@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import duckdb
@@ -113,7 +114,18 @@ def test_simhash_edge_rows(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["2", "None", "None"]
     empty = simhash.near_duplicates(simhash.fingerprints(docs.limit(0)))
-    assert empty.columns == ["doc_id", "bits", "component_id"] and empty.count() == 0
+    assert empty.columns == ["doc_id", "tag", "bits", "component_id", "first_tag"] and empty.count() == 0
+    assert simhash.keep_first(docs.limit(0), empty).count() == 0
+
+
+def test_different_texts_of_one_identifier_are_different_documents(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "xy")
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, two), (4, None), (4, "z"), (0, "z")]
+    docs = spark.createDataFrame([(*r, "a", "b", 7) for r in rows], DOCS).withColumnsRenamed({"lang": "_tag", "source": "tag"})
+    found = simhash.near_duplicates(simhash.fingerprints(docs))
+    kept = simhash.keep_first(docs, found)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(0, "z"), (1, one), (1, two), (4, None)], key=str)
 
 
 def test_components_of_long_chains(spark):
@@ -269,8 +281,44 @@ def test_leaks_edge_rows(spark, items):
     assert decontaminate.remove_leaks(docs, benchmark).columns == docs.columns
     assert decontaminate.find_leaks(docs.limit(0), benchmark).count() == 0
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
-    blocks = decontaminate.leak_columns(benchmark, block=100)
-    assert len(blocks) > 2
+    assert len(list(decontaminate.leak_columns(benchmark, block=100))) > 2
+    whole, parts = (sorted(map(str, decontaminate.find_leaks(docs, benchmark, block=b).collect())) for b in (10**6, 100))
+    assert whole == parts and whole
+    kept = decontaminate.remove_leaks(docs, benchmark, block=100)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+
+
+def test_repetitive_text_costs_no_more_than_other_text():
+    """A million equal letters and rows of numbers against items of thousands of them."""
+    index = decontaminate.Index.build([1, 2, 3], ["a" * 5000, "0 " * 2500, "12 7 " * 900 + "end of table"])
+    for text, items in (("A" * 1_000_000, {1}), ("0 " * 400_000, {2}), ("12 7 " * 100_000, {3}), ("0 1 " * 100_000, set())):
+        began = time.process_time()
+        assert {x["item_id"] for x in index.leaks(text)} == items
+        assert time.process_time() - began < 8
+    found = index.leaks("b " * 5000 + "a" * 9000)[0]
+    assert (found["item_id"], found["windows"], found["edits"]) == (1, 1, 0)
+    assert found["start"] < 10_000 + 60 and found["end"] >= 19_000 - 5
+
+
+def test_finds_are_exactly_those_of_plain_alignment():
+    """Few letters, so chance matches, repeats and near misses are common."""
+    rng = random.Random(9)
+    for _ in range(12):
+        letters = rng.choice(["ab", "abc ", "a b"])
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(8, 90))) for _ in range(4)]
+        index = decontaminate.Index.build(list(range(4)), texts)
+        source = decontaminate.normal(rng.choice(texts))
+        at = rng.randrange(max(1, len(source) - 60))
+        text = "".join(rng.choice(letters) for _ in range(80)) + edited(source[at : at + 70], rng.randrange(7), rng) + "ab" * 9
+        document, want = decontaminate.normal(text), set()
+        for i, item in enumerate(map(decontaminate.normal, texts)):
+            width = min(decontaminate.WINDOW, len(item))
+            budget = min(width * decontaminate.EDITS // decontaminate.WINDOW, (width - decontaminate.Q) // decontaminate.Q)
+            if len(item) >= decontaminate.Q and any(
+                plain_edits(item[s : s + width], document) <= budget for s in range(len(item) - width + 1)
+            ):
+                want.add(i)
+        assert {x["item_id"] for x in index.leaks(text)} == want
 
 
 def test_pieces_of_very_long_texts_overlap(monkeypatch, items):

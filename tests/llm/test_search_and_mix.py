@@ -3,15 +3,20 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from blotter.llm import ann, decontaminate, mixing, pii, simhash, toxicity
+from blotter.llm import ann, decontaminate, mixing, pii
 from blotter.llm.queries import QUERIES
-from pyspark.sql import functions as F
+from blotter.sources.shared import shared_root
+from tests.llm.test_pairs_and_spans import DOCS as DOCUMENTS
+from tests.llm.test_pairs_and_spans import slow_components, slow_fingerprint
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -238,31 +243,88 @@ def test_mix_edge_rows(spark, plan, sf_dir):
 # --- pipeline ----------------------------------------------------------------------
 
 
-def test_stages_do_what_they_say(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    seen = {}
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir):
+    """Per stage its input and its output, on the given table."""
+    docs, seen = spark.read.parquet(f"{sf_dir}/documents.parquet"), {}
     for name, stage in corpus_pipeline.STAGES:
         after = corpus_pipeline.staged(stage(spark, docs, sf_dir), name)
-        if name != "mixing":
-            assert after.columns == columns
         seen[name] = (docs, after)
         docs = after
-    given, clean = seen["near_duplicates"]
-    components = simhash.near_duplicates(simhash.fingerprints(given))
-    assert clean.count() == components.select("component_id").distinct().count()
-    given, clean = seen["decontamination"]
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaky = {r["doc_id"] for r in decontaminate.find_leaks(given, benchmark).collect()}
-    assert {r["doc_id"] for r in given.collect()} - leaky == {r["doc_id"] for r in clean.collect()} and leaky
-    given, clean = seen["personal_data"]
+    return seen
+
+
+def test_all_but_the_last_stage_keep_the_columns(spark, sf_dir, stages):
+    columns = spark.read.parquet(f"{sf_dir}/documents.parquet").columns
+    for name, (_, after) in stages.items():
+        assert after.columns == columns + (["copies", "taken"] if name == "mixing" else [])
+
+
+def test_toxicity_stage_follows_scores_and_labels(spark, sf_dir, stages):
+    given, clean = stages["toxicity"]
+    scores = {r["doc_id"]: r["score"] for r in QUERIES["op9_toxicity"](spark, sf_dir).collect()}
+    kept = {r["doc_id"] for r in clean.collect()}
+    assert kept == {i for i, score in scores.items() if score < 0.7}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(given, "doc_id").collect()
+    toxic, fine = ({r["doc_id"] for r in labels if r["toxic"] == x} for x in (1, 0))
+    assert len(toxic & kept) <= 0.5 * len(toxic) and len(fine & kept) >= 0.95 * len(fine)
+
+
+def test_near_duplicate_stage_keeps_the_first_of_each_plain_component(stages):
+    given, clean = stages["near_duplicates"]
+    rows = [(r["doc_id"], r["text"]) for r in given.collect()]
+    components = slow_components(rows, {i: slow_fingerprint(t) for i, t in rows})
+    assert {r["doc_id"] for r in clean.collect()} == set(components.values()) < set(components)
+
+
+def test_decontamination_stage_drops_verbatim_passages_and_little_else(spark, sf_dir, stages):
+    given, clean = stages["decontamination"]
+    normal = decontaminate.normal
+    items = [normal(r["text"]) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    verbatim = {r["doc_id"] for r in given.collect() if any(i in normal(r["text"]) for i in items)}
+    gone = {r["doc_id"] for r in given.collect()} - {r["doc_id"] for r in clean.collect()}
+    assert verbatim and verbatim <= gone and len(gone - verbatim) <= 0.02 * given.count()
+
+
+def test_mixing_stage_is_the_plain_mix(stages):
+    given, mixed = stages["mixing"]
+    rows = [(r["doc_id"], 0, r["source"], len(re.findall(r"[^ \t-\r]+", r["text"] or ""))) for r in given.collect()]
+    want = {i: c for i, c in plain_mix(rows, corpus_pipeline.MIX_WEIGHTS).items() if c}
+    assert {r["doc_id"]: r["copies"] for r in mixed.collect()} == want
+
+
+def test_run_is_its_stages_and_leaves_nothing_else_behind(spark, sf_dir, stages):
+    shared = Path(shared_root(spark).removeprefix("file:"))
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    left = lambda: {p.name for n in names for p in shared.rglob(f"{n}-*")}
+    before = left()
+    found = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(map(str, found.collect())) == sorted(map(str, stages["mixing"][1].collect()))
+    assert len(left() - before) == 1  # the result's own
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_take_nulls_ties_empty_tables_and_any_extra_columns(spark, sf_dir, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    schema = DOCUMENTS + ", tag int, copies int, bits long, score double, component_id long, spans string"
+    text = "some words that nobody repeats here"
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (None, "x", "en", "a", 1), (None, None, None, "b", None), (3, "", "fr", "b", 0), (4, "long " * 60_000, "en", "a", 9)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 0.5, 4, "s") for r in rows], schema)
+    after = stage(spark, docs, sf_dir)
+    assert [c for c in after.columns if c not in ("copies", "taken")] == [c for c in docs.columns if c not in ("copies", "taken")]
+    found = [r["doc_id"] for r in after.collect()]
+    assert set(found) <= {1, 2, 3, 4, None}
+    if name in ("toxicity", "decontamination", "personal_data"):
+        assert len(found) == len(rows)
+    if name == "near_duplicates":  # equal rows are one; the null and the empty text are alike
+        assert sorted(map(str, found)) == ["1", "2", "4", "None", "None"]
+    none = stage(spark, docs.limit(0), sf_dir)
+    assert none.columns == after.columns and none.count() == 0
+
+
+def test_personal_data_goes_and_documents_stay(stages):
+    given, clean = stages["personal_data"]
     assert given.count() == clean.count()
     left = pii.find_spans(clean, pii.fit_classifier(clean)).selectExpr("sum(size(base))").first()[0]
     assert left == 0 and clean.filter("text like '%<EMAIL>%'").count() > 0
     assert clean.filter("n_chars <> length(text)").count() == 0
-    given, mixed = seen["mixing"]
-    assert mixed.columns == [*columns, "copies", "taken"] and mixed.filter("copies < 1").count() == 0
-    plan_of = {r["doc_id"]: r["copies"] for r in mixing.mix(mixing.measure(given)).collect()}
-    assert {r["doc_id"]: r["copies"] for r in mixed.collect()} == {i: c for i, c in plan_of.items() if c}
-    assert before > docs.count() > 0
-    assert toxicity.THRESHOLD == 0.7

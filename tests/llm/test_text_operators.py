@@ -300,7 +300,32 @@ def test_every_layout_gives_the_same_turns(spark):
     ]
     assert [r["conversation"] for r in chat_format.unmapped_records(df, "id", "record").collect()] == [7, 8, 9]
     with pytest.raises(ValueError):
-        chat_format.row_turns(df, ("id", "record"))
+        chat_format.row_turns(df)
+
+
+def test_tables_of_any_known_layout_give_the_same_turns(spark):
+    """Told by the table's own schema, whatever else it holds and in whatever order."""
+    said = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (None, None, None, None)]
+    want = None
+    for names in chat_format.ROW_LAYOUTS.values():
+        schema = ", ".join(f"{n} {kind}" for n, kind in zip(names, ("long", "int", "string", "string")))
+        df = spark.createDataFrame([(*r, "x", 2.0, ["y"]) for r in said], schema + ", conversation string, loss double, tags array<string>")
+        turns = chat_format.row_turns(df.select(*df.columns[::-1]))
+        assert turns.columns == ["conversation", "turn", "role", "text"]
+        got = sorted(map(str, turns.collect()))
+        want = want or got
+        assert got == want and len(got) == 3
+    nested = spark.createDataFrame([(1, 1, "user", ("a",))], "conv_id long, turn int, role string, text struct<body: string>")
+    assert chat_format.row_layout(nested.schema) is None
+    with pytest.raises(ValueError, match="text.body"):
+        chat_format.row_turns(nested)
+
+
+def test_a_very_long_turn_is_formatted_whole(spark):
+    long = "<|im_end|>\\ " * 50_000
+    df = spark.createDataFrame([(1, 0, "assistant", long)], "conv_id long, turn long, role string, text string")
+    row = chat_format.read_back(chat_format.format_turns(chat_format.row_turns(df))).first()
+    assert row["turns"][0]["text"] == long == row["loss_text"]
 
 
 def test_formatting_is_reversible_and_masks_assistants(spark):
@@ -328,3 +353,55 @@ def test_format_edge_rows(spark, plan, sf_dir):
     assert back == {None: [("", "")], 1: [("user", "x"), ("assistant", ""), ("assistant", "")]}
     assert chat_format.format_turns(spark.createDataFrame([], schema)).count() == 0
     assert not re.search("Python|Pandas|Arrow", plan(QUERIES["op10_chat_format"](spark, sf_dir)))
+
+
+def plain_worst_window(network, words):
+    """The highest score of any window of the words, one word and one window at a time, in double precision."""
+    w = {name: x.astype(float) for name, x in network.weights.items()}
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    hidden = toxicity.HIDDEN
+
+    def inputs(word):
+        slots, _ = toxicity.trigram_bags([word])
+        known = w["word"][network.vocabulary.get(word, 0)]
+        return np.concatenate([known, np.mean([w["trigram"][s] for s in slots], axis=0)])
+
+    def read(xs, d):
+        h, states = np.zeros(hidden), []
+        for x in xs:
+            given, own = x @ w[f"in_{d}"] + w[f"bias_{d}"], h @ w[f"state_{d}"]
+            reset, update = (sigmoid(given[a : a + hidden] + own[a : a + hidden]) for a in (0, hidden))
+            candidate = np.tanh(given[2 * hidden :] + reset * own[2 * hidden :])
+            h = (1 - update) * candidate + update * h
+            states.append(h)
+        return states
+
+    scores = []
+    size = toxicity.WINDOW
+    starts = [0] if len(words) <= size else [*range(0, len(words) - size, toxicity.STRIDE), len(words) - size]
+    for start in starts:
+        xs = [inputs(word) for word in words[start : start + size]]
+        pooled = np.zeros(2 * hidden)
+        if xs:
+            states = [np.concatenate(p) for p in zip(read(xs, "f"), read(xs[::-1], "b")[::-1])]
+            energy = np.array([np.tanh(s @ w["attend"]) @ w["query"] for s in states])
+            share = np.exp(energy - energy.max())
+            pooled = sum(a * s for a, s in zip(share / share.sum(), states))
+        scores.append(sigmoid(pooled @ w["out"] + w["shift"][0]))
+    return max(scores)
+
+
+def test_scores_are_those_of_a_plain_forward_pass_over_all_windows(spark, sf_dir):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(50)]
+    network = toxicity.fresh_network(rng, {word: float(rng.normal()) for word in words[:30]})
+    for name, x in network.weights.items():
+        network.weights[name] = (x + rng.standard_normal(x.shape) * 0.3).astype(np.float32)
+    network.slope, network.shift = 0.8, -0.4
+    texts = [None, "", "...", "w1", *[" ".join(rng.choice(words + ["unseen", "x" * 130], n)) for n in (5, 63, 64, 65, 96, 97, 300)]]
+    df = spark.createDataFrame([(i, t, 0.5, 1) for i, t in enumerate(texts)], DOCS + ", score double, toxic int")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(df, network).collect()}
+    for i, text in enumerate(texts):
+        worst = plain_worst_window(network, toxicity.clean_words(text))
+        assert found[i] == pytest.approx(float(network.probability(np.array([worst]))[0]), abs=1e-4)
+    assert len({round(x, 3) for x in found.values()}) > 5
