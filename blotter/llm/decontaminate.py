@@ -8,13 +8,18 @@ q-grams are counted in bands of diagonals, each overlapping the next by half and
 every such match. Where a band has enough within a window, an alignment limited to the band
 verifies it. Nothing within the edit budget is missed.
 
-The benchmark's q-grams are broadcast, in blocks of at most ``BLOCK`` characters, each a pass
-over the documents; a document is read by one task and nothing is shuffled.
+The benchmark's q-grams are broadcast, in blocks of at most ``BLOCK`` characters. Each block is a pass of its
+own: it is read, broadcast, applied, its result written, and it is released before the next one comes. A document is read by
+one task and nothing is shuffled.
+
+Repetitive text costs no more than other text. Of equal windows of an item the first stands for all, and only its
+q-grams are indexed; a document is taken in pieces of ``PIECE`` characters that overlap by two windows, and equal pieces
+are looked at once.
 
 Defined cases: null and empty texts match nothing, nor do items of fewer than q normal
 characters. An item shorter than a window is compared whole with edits in proportion. Repeated
-items and documents are each reported. Empty tables give empty results. Very long texts are
-taken in overlapping pieces. Other columns than identifiers and texts are never read.
+items and documents are each reported; ties have no order, as every item counts for itself. Empty tables give empty
+results. Texts are read whole whatever their length. Other columns than identifiers and texts are never read.
 """
 
 from __future__ import annotations
@@ -22,16 +27,17 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blotter.llm.common import staged
+
 Q, WINDOW, EDITS = 10, 60, 4
 BLOCK = 20_000_000
-PIECE = 1 << 20
+PIECE = 1 << 12
 
 _FOUND = pa.list_(
     pa.struct(
@@ -61,42 +67,50 @@ def find_leaks(
     text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
+    block: int = BLOCK,
 ) -> DataFrame:
     """``(doc_id, item_id, start, end, windows, edits)``: each document and item that share a
-    passage, where in the normal text, in how many windows, and the fewest edits of one."""
+    passage, where in the normal text, in how many different windows, and the fewest edits of one."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = reduce(
-        lambda a, b: F.concat(a, b),
-        [find(F.col("text")) for find in leak_columns(benchmark, item_id, item_text)],
-    )
-    return rows.select("doc_id", F.inline(found))
-
-
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    found = None
+    for find, release, more in leak_columns(benchmark, item_id, item_text, block):
+        own = rows.select("doc_id", F.inline(find(F.col("text"))))
+        if more or found is not None:
+            own = staged(own, "leaks")
+            release()
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def remove_leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", block: int = BLOCK
+) -> DataFrame:
     """Documents that share no passage with any item, all columns as they are."""
-    finds = leak_columns(benchmark)
-    clean = reduce(
-        lambda a, b: a & b, [F.size(find(F.col(f"`{text}`").cast("string"))) == 0 for find in finds]
-    )
-    return docs.filter(clean)
+    passes = 0
+    for find, release, more in leak_columns(benchmark, block=block):
+        docs, passes = docs.filter(F.size(find(F.col(f"`{text}`").cast("string"))) == 0), passes + 1
+        if more or passes > 1:
+            docs = staged(docs, "unleaked")
+            release()
+    return docs
 
 
 def leak_columns(
     benchmark: DataFrame, item_id: str = "item_id", item_text: str = "text", block: int = BLOCK
-) -> list:
-    """Column functions that find leaks, one for each block of the benchmark."""
+) -> Iterator[tuple]:
+    """For each block of the benchmark a column function that finds leaks, what releases it, and whether
+    another block follows. A block is collected when its turn comes."""
     items = benchmark.select(
         F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")
     ).filter("text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block))
     of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    return [
-        _leak_column(benchmark, items.filter(of == b).collect()) for b in range(blocks)
-    ]
+    for b in range(blocks):
+        yield *_leak_column(benchmark, items.filter(of == b).collect()), b + 1 < blocks
 
 
-def _leak_column(benchmark: DataFrame, rows):
+def _leak_column(benchmark: DataFrame, rows) -> tuple:
     ordered = sorted(rows, key=lambda r: (r["item_id"] is None, r["item_id"] or 0, r["text"]))
     index = Index.build([r["item_id"] for r in ordered], [r["text"] for r in ordered])
     shared = benchmark.sparkSession.sparkContext.broadcast(index)
@@ -106,7 +120,7 @@ def _leak_column(benchmark: DataFrame, rows):
         for batch in batches:
             yield pa.array([shared.value.leaks(t) for t in batch.to_pylist()], type=_FOUND)
 
-    return leaks
+    return leaks, shared.unpersist
 
 
 @dataclass
@@ -115,6 +129,8 @@ class Index:
 
     ids: list
     codes: list[np.ndarray]
+    lengths: np.ndarray
+    firsts: list[np.ndarray]
     widths: np.ndarray
     budgets: np.ndarray
     needed: np.ndarray
@@ -132,31 +148,39 @@ class Index:
         widths = np.array([min(WINDOW, len(c)) for c in codes], dtype=np.int64)
         budgets = np.minimum(widths * EDITS // WINDOW, (widths - Q) // Q)
         needed = widths - Q + 1 - Q * budgets
-        grams = [_grams(c) for c in codes]
+        lengths = np.array([len(c) for c in codes], dtype=np.int64)
+        firsts = [_first_windows(c, int(w)) for c, w in zip(codes, widths)]
+        places = [_covered(f, int(w) - Q + 1) for f, w in zip(firsts, widths)]
+        grams = [_grams(c)[p] for c, p in zip(codes, places)]
         empty = np.zeros(0, dtype=np.int64)
         every = np.concatenate([np.zeros(0, dtype=np.uint64), *grams])
         item = np.concatenate([empty, *[np.full(len(g), i) for i, g in enumerate(grams)]])
-        place = np.concatenate([empty, *[np.arange(len(g)) for g in grams]])
+        place = np.concatenate([empty, *places])
         order = np.argsort(every, kind="stable")
         hashes, first = np.unique(every[order], return_index=True)
         seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
         seen[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         first = np.append(first, len(every))
         return Index(
-            ids, codes, widths, budgets, needed, hashes, first, item[order], place[order], seen
+            ids, codes, lengths, firsts, widths, budgets, needed, hashes, first, item[order], place[order], seen
         )
 
     def leaks(self, text: str | None) -> list[dict]:
         codes = _codes(normal(text))
-        found: dict[int, list[int]] = {}
+        found: dict[int, list] = {}
+        known: dict[bytes, list] = {}
         step = PIECE - 2 * WINDOW
         for at in range(0, max(1, len(codes) - 2 * WINDOW), step):
-            for item, start, end, windows, edits in self._piece(codes[at : at + PIECE]):
-                old = found.setdefault(item, [at + start, at + end, 0, edits])
-                old[0], old[1] = min(old[0], at + start), max(old[1], at + end)
-                old[2], old[3] = old[2] + windows, min(old[3], edits)
+            piece = codes[at : at + PIECE]
+            same = piece.tobytes() if len(codes) > PIECE else b""
+            if same not in known:
+                known[same] = list(self._piece(piece))
+            for item, start, end, windows, edits in known[same]:
+                old = found.setdefault(item, [at + start, at + end, set(), edits])
+                old[0], old[1], old[3] = min(old[0], at + start), max(old[1], at + end), min(old[3], edits)
+                old[2].update(windows)
         return [
-            {"item_id": self.ids[i], "start": s, "end": e, "windows": w, "edits": d}
+            {"item_id": self.ids[i], "start": s, "end": e, "windows": len(w), "edits": d}
             for i, (s, e, w, d) in sorted(found.items())
         ]
 
@@ -167,14 +191,14 @@ class Index:
             return
         regions = self._regions(item, place, at - place)
         for i in np.unique([r[0] for r in regions]).astype(int).tolist():
-            own = [(s, low) for item, s, low in regions if item == i]
-            ends = self._align(codes, i, np.array(own))
-            good = [(s, low, e) for (s, low), e in zip(own, ends.tolist()) if e <= self.budgets[i]]
-            if good:
-                width = int(self.widths[i])
-                start = max(0, min(s + low for s, low, _ in good))
-                end = min(len(codes), max(s + low + width for s, low, _ in good) + int(self.budgets[i]))
-                yield i, start, end, len(good), min(e for *_, e in good)
+            own = np.array([(s, low) for item, s, low in regions if item == i])
+            edits = self._align(codes, i, own)
+            good = edits <= self.budgets[i]
+            if good.any():
+                begins, width = own[good].sum(axis=1), int(self.widths[i])
+                start = max(0, int(begins.min()))
+                end = min(len(codes), int(begins.max()) + width + int(self.budgets[i]))
+                yield i, start, end, np.unique(own[good, 0]).tolist(), int(edits[good].min())
 
     def _hits(self, codes: np.ndarray):
         """Item, item place and document place of every q-gram that the document shares."""
@@ -218,16 +242,17 @@ class Index:
         k, last = k[enough], last[enough]
         # These q-grams lie in every window from the first that ends with them on.
         low = np.maximum(0, place[last] + Q - self.widths[item[k]])
-        high = np.minimum(place[k], np.array([len(c) for c in self.codes])[item[k]] - self.widths[item[k]])
+        high = np.minimum(place[k], (self.lengths - self.widths)[item[k]])
         regions = []
         groups = np.flatnonzero(np.append(True, (item[k][1:] != item[k][:-1]) | (band[k][1:] != band[k][:-1])))
         for start, end in zip(groups.tolist(), [*groups[1:].tolist(), len(k)]) if len(k) else ():
             i = int(item[k[start]])
-            change = np.zeros(len(self.codes[i]) + 2, dtype=np.int64)
+            change = np.zeros(self.lengths[i] + 2, dtype=np.int64)
             np.add.at(change, low[start:end], 1)
             np.add.at(change, high[start:end] + 1, -1)
             lowest = int(band[k[start]]) * (int(self.budgets[i]) + 1)
-            regions += [(i, s, lowest) for s in np.flatnonzero(np.cumsum(change) > 0).tolist()]
+            supported = self.firsts[i][np.cumsum(change)[self.firsts[i]] > 0]
+            regions += [(i, s, lowest) for s in supported.tolist()]
         return regions
 
     def _align(self, codes: np.ndarray, i: int, regions: np.ndarray) -> np.ndarray:
@@ -257,6 +282,23 @@ class Index:
         return row.min(axis=1)
 
 
+def _first_windows(codes: np.ndarray, width: int) -> np.ndarray:
+    """Where the different windows of an item start first, in order."""
+    n = len(codes) - width + 1
+    mixed = np.zeros(n, dtype=np.uint64)
+    for k in range(width):
+        mixed = mixed * _MIX + codes[k : k + n]
+    return np.sort(np.unique(mixed, return_index=True)[1])
+
+
+def _covered(starts: np.ndarray, length: int) -> np.ndarray:
+    """All places of stretches of a length."""
+    change = np.zeros(int(starts.max()) + length + 1, dtype=np.int64)
+    change[starts] += 1
+    change[starts + length] -= 1
+    return np.flatnonzero(np.cumsum(change) > 0)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
