@@ -127,6 +127,12 @@ def main() -> None:
             "gmm_predict",
             "planted_cluster_map",
             "domestic_kmeans_30",
+            "kmeans_k_sweep_from_pool",
+            "merged_moments",
+            "filter_bbox_by_place",
+            "filter_small_box_by_place",
+            "cluster_map_tiles",
+            "csv_rejected_records",
         )
     } | {
         "stage_incidents": lambda: stage_and_remove(spark, incident_view(spark, sf_dir)),

@@ -453,7 +453,6 @@ def hour_of_day_text(spark, sf_dir):
     " from orders"
 )
 def calendar_columns_orders(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     text = F.date_format("o_orderdate", "MM/dd/yyyy hh:mm:ss a").alias("Date")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", text)
     return columns.with_calendar(orders).drop("Date", "Day")
