@@ -754,6 +754,19 @@ def kmeans_predict(spark, sf_dir):
     return assign_kmeans(incidents, 3).select("ID", *COORDINATES, "prediction")
 
 
+@query(_study_sql(_DOMESTIC, '"ID", true as nearest'))
+def kmeans_predict_nearest(spark, sf_dir):
+    """Whether each incident's cluster is that of the nearest of the centers returned."""
+    incidents = domestic_in_homes(incident_table(spark, sf_dir))
+    with prepare_points(incidents) as points:
+        model, scale = fit_models(points, [3])[3].setPredictionCol("prediction"), points.scale
+    assigned = model.transform(features.standardize_columns(incidents, scale))
+    centers = [[float(x) for x in center] for center in model.clusterCenters()]
+    scaled = {f"scaled_{i}": x for i, x in enumerate(scale.scaled())}
+    nearest = clustering.nearest_center(list(scaled), centers)
+    return assigned.withColumns(scaled).select("ID", (F.col("prediction") == nearest).alias("nearest"))
+
+
 @query()
 def gmm_fit(spark, sf_dir):
     with prepare_points(domestic_in_homes(incident_table(spark, sf_dir))) as points:
