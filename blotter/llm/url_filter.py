@@ -8,7 +8,7 @@ entry for the very same place, block wins.
 Defined cases: a null URL or one without ``://`` has an empty host and an empty path,
 so no rule fits and it gets the default verdict; so does a URL whose path does not
 start with ``/`` (``http://a.com?q``) under rules that ask for ``/``. Repeated rows are
-judged alike and each is returned. An empty table gives an empty result. Only the
+judged alike and each is returned. URLs are read whole whatever their length. An empty table gives an empty result. Only the
 identifier and the URL are read, so other columns cannot clash.
 """
 

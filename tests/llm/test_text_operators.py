@@ -57,6 +57,16 @@ def test_block_wins_a_tie_and_bad_rules_are_refused():
         url_filter.UrlTrie([url_filter.Rule("maybe", "a.b", "/")])
 
 
+def test_very_long_and_repeated_urls(spark):
+    long = "http://" + "a." * 30_000 + "example.com/en/" + "x/" * 30_000 + "?" + "q" * 50_000
+    urls = [long, long, "http://example.com/en/"] * 2
+    pages = spark.createDataFrame([(i % 3, u) for i, u in enumerate(urls)], "page_id long, url string")
+    rows = url_filter.judge_urls(pages, URL_RULES).collect()
+    assert len(rows) == 6 and {r["verdict"] for r in rows} == {"block"}
+    whole = [r for r in rows if len(r["path"]) > 10]
+    assert len(whole) == 4 and whole[0]["path"].endswith("x/") and len(whole[0]["path"]) == 4 + 60_000
+
+
 # --- token counts ------------------------------------------------------------------
 
 
@@ -150,6 +160,27 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
     assert got == {i: ",".join(plain_spans(t)) for i, t in enumerate(texts)}
 
 
+def test_personal_data_in_long_repeated_texts_with_clashing_columns(spark):
+    """Matches far into a text, and rows that repeat one another."""
+    text = "plain words " * 2000 + "mail a.b@c.org " + "and " * 3000 + "host 10.0.0.7 card 4111 1111 1111 1111 "
+    docs = spark.createDataFrame([(1, text, "s", 1, 2), (1, text, "s", 1, 2), (None, text, None, None, None)], DOCS + ", spans string, base int, email int")
+    found = pii.find_spans(docs, pii.fit_classifier(docs)).select(pii.spans_text(F.col("base")).alias("b")).collect()
+    assert [r["b"] for r in found] == [",".join(plain_spans(text))] * 3 and len(plain_spans(text)) == 3
+    clean = pii.redact(docs, pii.fit_classifier(docs))
+    assert clean.columns == docs.columns and clean.count() == 3
+    assert clean.filter("text like '%<EMAIL>%' and text like '%<IP>%' and text like '%<CARD>%'").count() == 3
+
+
+def test_beliefs_settle():
+    """Another step of expectation-maximisation moves nothing."""
+    rng = random.Random(2)
+    cells = [{"votes": tuple(rng.choice([-1, 0, 1]) for _ in range(pii.LABELERS)), "count": rng.randrange(1, 50)} for _ in range(60)]
+    settled = pii._posteriors(cells, 1e-6)
+    finer = pii._posteriors(cells, 1e-10)
+    assert max(abs(settled[v] - finer[v]) for v in settled) < 1e-2
+    assert {round(b) for b in settled.values()} == {0, 1}
+
+
 def test_personal_data_query(spark, sf_dir):
     rows = duckdb.connect().execute(f"select doc_id, text from '{sf_dir}/documents.parquet'").fetchall()
     found = {r["doc_id"]: r for r in QUERIES["op4_pii"](spark, sf_dir).collect()}
