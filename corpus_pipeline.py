@@ -2,9 +2,16 @@
 
 A stage is ``(spark, docs, sf_dir) -> DataFrame``. Its result is written as Parquet to the
 folder all executors share and read again as the next stage's documents, so a lost
-executor or a failed stage never repeats the stages before it. All stages but the last keep
+executor or a failed stage never repeats the stages before it; what a stage was given is removed once its
+result is written. All stages but the last keep
 the columns of ``documents``; the last adds how often the mix takes a document and how many
 words that makes.
+
+Defined cases: null and empty texts are scored, compared and mixed like any others, and hold nothing that a stage
+removes. Documents without an identifier are no duplicates. Of rows equal in identifier and text one stays; different texts of
+one identifier are different documents. Ties are broken by identifier, then text. Texts are read whole whatever their
+length. An empty table passes every stage empty. Columns beyond those of ``documents`` go through as they are, whatever their
+names; only ``copies`` and ``taken`` are replaced by the last stage.
 """
 
 from __future__ import annotations
@@ -15,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.llm import decontaminate, mixing, pii, simhash, toxicity
-from blotter.llm.common import read_table, staged
+from blotter.llm.common import read_table, released, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -68,7 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs = given = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        after = staged(stage(spark, docs, sf_dir), name)
+        if docs is not given:
+            released(docs)
+        docs = after
     return docs
