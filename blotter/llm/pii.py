@@ -18,7 +18,8 @@ are only entered at their start, which gives the same matches as the plain patte
 
 Defined cases: a null or empty text has no spans. Repeated rows and rows with a null identifier are
 treated like any others. With no candidates at all the classifier accepts none. Extra
-spans that overlap a fixed one are dropped. An empty table gives an empty result.
+spans that overlap a fixed one are dropped. Spans are in order of their start, so there are no ties. Texts are read whole
+whatever their length. Only the named columns are read; others may have any names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -67,16 +68,35 @@ _MIXED = {
 }
 
 # Gazetteers of beginnings, and of words that come before such strings.
+# Beginnings: area codes of large cities and toll-free numbers; area numbers by which national numbers were
+# issued in populous states; what services put before their secrets.
+_AREA_CODES = (
+    "202", "206", "210", "212", "213", "214", "215", "216", "301", "303", "305", "310", "312", "313", "314",
+    "317", "323", "347", "404", "407", "408", "410", "412", "415", "416", "469", "480", "502", "503", "504",
+    "510", "512", "513", "514", "555", "602", "604", "612", "614", "615", "617", "619", "646", "650", "702",
+    "703", "704", "713", "714", "718", "720", "773", "800", "801", "808", "816", "818", "832", "833", "844",
+    "855", "866", "877", "888", "901", "904", "917", "919", "949", "954", "972",
+)
 _KNOWN = {
-    "local_phone": ("800", "(800", "888", "(888", "555", "(555"),
-    "national_id": (),
-    "secret": ("AKIA", "ASIA", "ghp_", "gho_", "glpat", "sk_", "pk_", "xox", "eyJ", "AIza"),
-}
+    "local_phone": (*_AREA_CODES, *(f"({code}" for code in _AREA_CODES)),
+    "national_id": (
+        "05", "06", "07", "08", "09", "10", "11", "12", "13", "16", "17", "18", "19", "20", "26", "27",
+        "28", "32", "33", "34", "35", "36", "37", "38", "45", "46", "54", "55", "56", "57", "58", "59",
+    ),
+    "secret": (
+        "AKIA", "ASIA", "AGPA", "AIDA", "AROA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat",
+        "sk_", "pk_", "rk_", "whsec_", "xox", "eyJ", "AIza", "ya29", "npm_", "hf_", "dop_v1_", "shpat_",
+        "shpss_", "sq0", "EAAC", "lin_api_", "pat_", "key_",
+    ),
+}
 _KNOWN_NOT = {
-    "local_phone": ("000", "(000"),
-    "national_id": ("000",),
-    "secret": ("version", "chapter", "section", "figure", "http"),
-}
+    "local_phone": ("000", "(000", "999", "(999", "0", "(0"),
+    "national_id": ("000", "666", "9"),
+    "secret": (
+        "version", "chapter", "section", "figure", "http", "www", "file", "page", "test", "example",
+        "sample", "lorem", "index", "table", "image", "img_", "utf", "iso", "rfc",
+    ),
+}
 _CUES = {
     "local_phone": ("call", "tel", "phone", "fax", "mobile", "cell", "whatsapp"),
     "national_id": ("ssn", "social security", "passport", "national", "identity", "tax"),
@@ -95,7 +115,8 @@ _SHARES = (0.4, 0.6, 0.8)
 LABELERS = 6
 CELLS = len(EXTRA_KINDS) * 3**LABELERS * (len(_LENGTHS) + 1) * (len(_SHARES) + 1)
 
-EM_ROUNDS = 50
+# Expectation-maximisation ends when no belief moves by more.
+TOLERANCE = 1e-6
 
 
 @dataclass(frozen=True)
@@ -150,7 +171,7 @@ def candidates(text: Column) -> Column:
     return F.concat(*[voted(kind, pattern) for kind, pattern in _CANDIDATES.items()])
 
 
-def fit_classifier(docs: DataFrame, text: str = "text", rounds: int = EM_ROUNDS) -> Classifier:
+def fit_classifier(docs: DataFrame, text: str = "text", tolerance: float = TOLERANCE) -> Classifier:
     """One pass over all documents to count patterns, then EM and training on the counts."""
     cells = (
         docs.select(F.inline(candidates(F.coalesce(F.col(text), F.lit("")))))
@@ -162,7 +183,7 @@ def fit_classifier(docs: DataFrame, text: str = "text", rounds: int = EM_ROUNDS)
     for cell in sorted(cells, key=lambda c: (c["kind"], c["votes"], c["long"], c["digits"])):
         by_kind[cell["kind"]].append(cell)
     return Classifier(
-        {kind: _train(docs, rows, _posteriors(rows, rounds)) for kind, rows in by_kind.items()}
+        {kind: _train(docs, rows, _posteriors(rows, tolerance)) for kind, rows in by_kind.items()}
     )
 
 
@@ -334,7 +355,7 @@ def _inputs(candidate) -> list:
     return [*votes, candidate["long"], candidate["digits"]]
 
 
-def _posteriors(cells, rounds: int) -> dict[tuple[int, ...], float]:
+def _posteriors(cells, tolerance: float) -> dict[tuple[int, ...], float]:
     """Probability that a vote pattern is personal, by expectation-maximisation.
 
     Labelers are independent given the truth. The start leans to the majority, and one
@@ -345,7 +366,9 @@ def _posteriors(cells, rounds: int) -> dict[tuple[int, ...], float]:
         counts[tuple(cell["votes"])] += cell["count"]
     total = sum(counts.values())
     belief = {v: 1 / (1 + math.exp(-sum(v))) for v in counts}
-    for _ in range(rounds):
+    moved = 1.0
+    while moved > tolerance:  # the likelihood only rises, so steps shrink
+        moved = 0.0
         share = (sum(n * belief[v] for v, n in counts.items()) + 1) / (total + 2)
         says = [
             [_reliability(counts, belief, i, truth) for i in range(LABELERS)] for truth in (0, 1)
@@ -354,7 +377,8 @@ def _posteriors(cells, rounds: int) -> dict[tuple[int, ...], float]:
             odds = math.log(share / (1 - share)) + sum(
                 math.log(says[1][i][x] / says[0][i][x]) for i, x in enumerate(v)
             )
-            belief[v] = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            new = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
+            belief[v], moved = new, max(moved, abs(new - belief[v]))
     return belief
 
 
