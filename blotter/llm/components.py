@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import staged
+from blotter.llm.common import released, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     before, now = None, _state(edges)
     while now != before:
-        edges = staged(_small_star(_large_star(edges)), "edges")
+        older, edges = edges, staged(_small_star(_large_star(edges)), "edges")
+        released(older)
         before, now = now, _state(edges)
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -25,7 +25,8 @@ tasks of their own. So neither memory nor emitted rows grow with the square of a
 Defined cases: documents with fewer words than a shingle are one shingle of all their words;
 null and blank texts have fingerprint zero and are linked like others. Documents without
 an identifier are fingerprinted, but link nothing and have no component. Repeated rows share
-everything. Empty tables give empty results. Texts are read whole, of any length.
+everything; different texts of one identifier are documents of their own. Ties have no order, since components are sets. Other columns than identifier and
+text are not read and may have any names. Empty tables give empty results. Texts are read whole, of any length.
 """
 
 from __future__ import annotations
@@ -62,23 +63,26 @@ def fingerprints(
     text: str = "text",
     shingle: int = SHINGLE,
 ) -> DataFrame:
-    """``(doc_id, bits)`` for every row, in one pass without a shuffle."""
+    """``(doc_id, tag, bits)`` for every row, in one pass without a shuffle. The tag tells apart texts
+    that share an identifier."""
     words = F.regexp_extract_all(
         lower_ascii(F.coalesce(F.col(text).cast("string"), F.lit(""))), F.lit(NOT_WHITE), F.lit(0)
     )
     lowered = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.array_join(words, " ").alias("words")
+        F.col(id_column).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text).cast("string")).alias("tag"),
+        F.array_join(words, " ").alias("words"),
     )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [fingerprint(t.split(" ") if t else [], shingle) for t in batch.column(1).to_pylist()]
+            bits = [fingerprint(t.split(" ") if t else [], shingle) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(bits, dtype=np.uint64).view(np.int64))],
-                names=["doc_id", "bits"],
+                [*batch.columns[:2], pa.array(np.array(bits, dtype=np.uint64).view(np.int64))],
+                names=["doc_id", "tag", "bits"],
             )
 
-    return lowered.mapInArrow(each, "doc_id long, bits long")
+    return lowered.mapInArrow(each, "doc_id long, tag long, bits long")
 
 
 def fingerprint(words: list[str], shingle: int = SHINGLE) -> int:
@@ -101,59 +105,74 @@ def fingerprint(words: list[str], shingle: int = SHINGLE) -> int:
 def near_duplicates(
     prints: DataFrame, distance: int = DISTANCE, group: int = GROUP
 ) -> DataFrame:
-    """``(doc_id, bits, component_id)`` for each of the ``(doc_id, bits)`` rows.
+    """``(doc_id, tag, bits, component_id, first_tag)`` for each of the ``(doc_id, tag, bits)`` rows.
 
-    The component is the smallest identifier that links reach, the document's own included.
+    The component is the smallest identifier that links reach, the document's own included; ``first_tag`` is the
+    tag of the text that has it, the smallest if several have.
+    Classes are linked by their fingerprints, so different texts of one identifier are told apart.
     """
     if not 0 <= distance <= 3:
         raise ValueError("three segments and one-bit balls cover at most three bits")
     prints = staged(prints, "fingerprints")
     classes = staged(
-        prints.filter("doc_id IS NOT NULL").groupBy("bits").agg(F.min("doc_id").alias("first")),
+        prints.filter("doc_id IS NOT NULL")
+        .groupBy("bits")
+        .agg(F.min("doc_id").alias("first"), F.min_by("tag", F.struct("doc_id", "tag")).alias("first_tag")),
         "classes",
     )
-    linked = _links(classes, distance, group)
-    components = connected_components(linked)
-    found = classes.join(components, F.col("first") == F.col("node"), "left").select(
-        "bits", F.coalesce("component", "first").alias("component_id")
+    components = connected_components(_links(classes.select("bits"), distance, group))
+    named = classes.join(components, F.col("bits") == F.col("node"), "left").select(
+        "bits", F.coalesce("component", "bits").alias("group"), "first", "first_tag"
     )
+    least = named.groupBy("group").agg(F.min(F.struct("first", "first_tag")).alias("least"))
+    found = named.join(least, "group").select(
+        "bits", F.col("least.first").alias("component_id"), F.col("least.first_tag").alias("first_tag")
+    )
+    known = F.col("doc_id").isNotNull()
     return prints.join(found, "bits", "left").select(
         "doc_id",
+        "tag",
         "bits",
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+        F.when(known, F.col("component_id")).alias("component_id"),
+        F.when(known, F.col("first_tag")).alias("first_tag"),
     )
 
 
-def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+def keep_first(
+    docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """One row of each component, the one its smallest identifier names, with all columns.
 
-    Of rows that repeat an identifier one stays; rows without one are no duplicates and stay.
-    The join and the window share one shuffle.
+    Of rows equal in identifier and text one stays; rows without an identifier are no duplicates and stay. Different
+    texts of one identifier are different documents.
     """
-    first = found.filter("doc_id = component_id").select("doc_id").distinct()
-    place = "place among rows of one identifier"
-    of_one = Window.partitionBy("doc_id").orderBy("text")
+    first = found.filter("doc_id = component_id AND tag = first_tag").select("doc_id", "tag").distinct()
+    taken = {c.lower() for c in docs.columns}
+    tag, place = (next(n for n in (f"{'_' * i}{name}" for i in range(1, 99)) if n not in taken) for name in ("tag", "place"))
+    of_one = Window.partitionBy(id_column, tag).orderBy(F.lit(0))
     named = (
-        docs.join(first, "doc_id", "left_semi")
+        docs.withColumn(tag, F.xxhash64(F.col(text).cast("string")))
+        .join(
+            first.withColumnsRenamed({"doc_id": id_column, "tag": tag}), [id_column, tag], "left_semi"
+        )
         .withColumn(place, F.row_number().over(of_one))
-        .filter(F.col(f"`{place}`") == 1)
-        .drop(place)
+        .filter(F.col(place) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    return named.unionByName(docs.filter(F.col(id_column).isNull()))
 
 
 def _links(classes: DataFrame, distance: int, group: int) -> DataFrame:
-    """``(a, b)`` edges between classes' first documents that span every component."""
+    """``(a, b)`` edges between fingerprints that span every component."""
 
     def keyed(batches):
         for batch in batches:
             rows, keys = golay_keys(batch.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))],
-                names=["key", "bits", "first"],
+                [pa.array(keys), batch.column(0).take(pa.array(rows))], names=["key", "bits"]
             )
 
-    keys = classes.select("bits", "first").mapInArrow(keyed, "key long, bits long, first long")
+    keys = classes.mapInArrow(keyed, "key long, bits long")
     met = staged(
         keys.repartition("key").sortWithinPartitions("key").mapInArrow(
             lambda batches: _link_groups(batches, distance, group), "key long, a long, b long"
@@ -161,23 +180,20 @@ def _links(classes: DataFrame, distance: int, group: int) -> DataFrame:
         "met",
     )
     # A row without b is a member of a key too large for one task.
-    aside = met.filter("b IS NULL").select("key", F.col("a").alias("first"))
+    aside = met.filter("b IS NULL").select("key", F.col("a").alias("bits"))
     edges = met.filter("b IS NOT NULL").select("a", "b")
-    return edges.unionByName(_link_blocks(aside, classes, distance, group))
+    return edges.unionByName(_link_blocks(aside, distance, group))
 
 
-def _link_blocks(aside: DataFrame, classes: DataFrame, distance: int, group: int) -> DataFrame:
+def _link_blocks(aside: DataFrame, distance: int, group: int) -> DataFrame:
     """Links of keys with many members, block pair by block pair."""
     sizes = aside.groupBy("key").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
     members = (
-        aside.join(classes, "first")
-        .join(sizes, "key")
+        aside.join(sizes, "key")
         .withColumn("own", F.pmod(F.xxhash64("bits"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         .select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-            "bits",
-            "first",
+            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "bits"
         )
     )
     return (
@@ -197,12 +213,11 @@ def _link_groups(batches, distance: int, group: int | None):
     def close():
         if held_key is None or over:
             return None
-        bits, first = (np.concatenate(x) for x in zip(*held))
-        edges = spanning_edges(bits, first, distance)
+        edges = spanning_edges(np.concatenate(held), distance)
         return _edge_batch(held_key, *edges) if len(edges[0]) else None
 
     for batch in batches:
-        key, bits, first = (batch.column(i).to_numpy() for i in range(3))
+        key, bits = (batch.column(i).to_numpy() for i in range(2))
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(key)]])
         if not len(key):
@@ -217,10 +232,9 @@ def _link_groups(batches, distance: int, group: int | None):
                 if done is not None:
                     yield done
                 held_key, held, over = key[s], [], False
-            held.append((bits[s:e], first[s:e]))
-            if group is not None and (over or sum(len(x[0]) for x in held) > group):
-                over = True
-                passed = np.concatenate([x[1] for x in held])
+            held.append(bits[s:e])
+            if group is not None and (over or sum(map(len, held)) > group):
+                over, passed = True, np.concatenate(held)
                 held = []
                 yield _edge_batch(held_key, passed, None)
     done = close()
@@ -235,23 +249,22 @@ def _edge_batch(key, a, b) -> pa.RecordBatch:
     )
 
 
-def spanning_edges(bits: np.ndarray, first: np.ndarray, distance: int):
+def spanning_edges(bits: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the graph that links fingerprints within ``distance`` bits."""
-    bits, keep = np.unique(bits, return_index=True)
-    first, bits = first[keep], bits.view(np.uint64)
-    left = np.arange(len(bits))
+    bits = np.unique(bits)
+    wide, left = bits.view(np.uint64), np.arange(len(bits))
     a, b = [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             node = queue.pop()
-            near = np.bitwise_count(bits[left] ^ bits[node]) <= distance
+            near = np.bitwise_count(wide[left] ^ wide[node]) <= distance
             if near.any():
                 found = left[near]
                 queue.extend(found.tolist())
                 left = left[~near]
-                a.append(np.full(len(found), first[node]))
-                b.append(first[found])
+                a.append(np.full(len(found), bits[node]))
+                b.append(bits[found])
     empty = np.empty(0, dtype=np.int64)
     return np.concatenate([empty, *a]), np.concatenate([empty, *b])
 
