@@ -41,6 +41,8 @@ LONGEST, LEAST, TOP = 4, 30, 2000
 # Score scale, and the share of occurrences inside a longer phrase that drops one.
 SCALE, INSIDE = 2_000_000, 80
 
+# Parts of a language that are ranked by themselves first.
+PARTS = 64
 # Words in a row of the shorter relations, words that a task works on at once, and distinct
 # words that it holds.
 ROW, STEP, HELD = 1024, 1 << 18, 200_000
@@ -77,9 +79,14 @@ def collocations(
         frequent[length + 1] = staged(_scored(counted, frequent, length + 1), f"phrases{length + 1}")
     released(relation)
     kept = [_without_parts(frequent, m, longest) for m in range(2, longest + 1)]
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    best = Window.partitionBy("lang").orderBy(*order)
+    # First within parts of a language, so that the last step sees a bounded number of rows of each.
+    some = Window.partitionBy("lang", "part").orderBy(*order)
+    parted = reduce(DataFrame.unionByName, kept).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
     return (
-        reduce(DataFrame.unionByName, kept)
+        parted.withColumn("place", F.row_number().over(some))
+        .filter(F.col("place") <= top)
         .withColumn("rank", F.row_number().over(best).cast("long"))
         .filter(F.col("rank") <= top)
         .join(totals, "lang")
