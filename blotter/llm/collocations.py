@@ -1,8 +1,8 @@
 """Collocations: phrases that occur often, scored by how tightly their parts hold together.
 
 Set-oriented mining (SETM). The relation of word occurrences, in order of piece and
-position, is written once: a row for each document, words as 64-bit identifiers, 0 after each
-piece. For each length from 1 on, the occurrences of phrases are counted by groups, and the groups that
+position, is written once: words as 64-bit identifiers, 0 after each piece, in rows of some pieces
+each, so that a batch of rows is small whatever the documents' lengths. For each length from 1 on, the occurrences of phrases are counted by groups, and the groups that
 reach the threshold are kept. The relation is then semi-joined with the frequent groups, each
 occurrence is merge-joined with the one at the next position of its piece (two neighbouring frequent
 phrases of k words that overlap make one of k + 1), and the shorter relation that is left is written
@@ -43,9 +43,9 @@ SCALE, INSIDE = 2_000_000, 80
 
 # Parts of a language that are ranked by themselves first.
 PARTS = 64
-# Words in a row of the shorter relations, words that a task works on at once, and distinct
-# words that it holds.
-ROW, STEP, HELD = 1024, 1 << 18, 200_000
+# Words in a row of the relations (Spark's readers and Arrow hold thousands of rows at once), words that a
+# task works on at once, and distinct words that it holds.
+ROW, STEP, HELD = 128, 1 << 18, 200_000
 # Identifiers repeat, so a file's dictionary may hold up to a million of them.
 _DICTIONARY = {"parquet.dictionary.page.size": str(8 << 20)}
 
@@ -119,13 +119,13 @@ def _occurrences(docs: DataFrame, lang: str, text: str) -> tuple[DataFrame, Data
                     runs.append(known[name].read(body.as_py()))
                     size += len(runs[-1])
                     if size >= STEP:
-                        yield _first_rows(runs=runs)
+                        yield _first_rows(runs=_cut(np.concatenate(runs)))
                         runs, size = [], 0
                         if sum(len(w.counts) for w in known.values()) > HELD:
                             yield from _word_rows(known)
                             known = {}
             if runs:
-                yield _first_rows(runs=runs)
+                yield _first_rows(runs=_cut(np.concatenate(runs)))
             yield from _word_rows(known)
 
         both = staged(texts.mapInArrow(read, _FIRST), "occurrences", **_DICTIONARY)

@@ -110,3 +110,18 @@ def test_runs_hold_exactly_the_marked_phrases():
         assert sum(map(len, parts)) == len(runs)
         got = Counter(tuple(runs[i : i + length]) for i in windows(runs, length))
         assert got == Counter(tuple(words[i : i + length]) for i in np.flatnonzero(marked))
+
+
+def test_rows_of_relations_stay_small(spark):
+    """Thousands of rows are in memory at once, so a row must not grow with its document."""
+    piece = ["here are", "a few words"]
+    text = ". ".join(piece * 10_000)
+    df = spark.createDataFrame([(1, "en", text), (2, "fr", "x " * 40), (3, "en", "one")], DOCS)
+    relation, words = collocations._occurrences(df, "lang", "text")
+    sizes = [r[0] for r in relation.selectExpr("size(run)").collect()]
+    assert sum(sizes) == 20_000 * 2.5 + 20_000 + 41 + 2 and max(sizes) <= 256
+    longer = collocations._extended(relation, words.filter("a >= 30"), 1, 1 << 20)
+    sizes = [r[0] for r in longer.selectExpr("size(run)").collect()]
+    assert sum(sizes) == 20_000 * 2.5 + 20_000 + 41 and max(sizes) <= 256
+    ends = longer.selectExpr("element_at(run, -1) AS last").distinct().collect()
+    assert [r["last"] for r in ends] == [0]
